@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import decontaminate, packing, quality_classifier, sharding, url_filter, warc
+from skarn.llm import decontaminate, lm, packing, pii, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
 from skarn.llm.common import table
 
 N_SHARDS = 8
@@ -23,6 +23,18 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.privacy_report(table(spark, sf_dir, "documents"))
+
+
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -39,10 +51,53 @@ def op9_digest_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bounded_ring, op2_harmonic_packing, op6_zip_warc, op7_pu_quality, op8_ngram_decontamination, op9_digest_url_filter)
+    f.__name__: f
+    for f in (
+        op1_bounded_ring,
+        op2_harmonic_packing,
+        op3_backoff_automaton,
+        op4_disclosure_pii,
+        op5_rule_cascade,
+        op6_zip_warc,
+        op7_pu_quality,
+        op8_ngram_decontamination,
+        op9_digest_url_filter,
+        op10_gray_simhash,
+    )
 }
 
+_OP5 = """
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM own, unnest(generate_series(1, len(w) - 2)) AS t(i)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, unnest([0, 1, 2]) AS u(k) WHERE n > 1 GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(text, '\\P{L}', '', 'g')) AS n_letters, length(regexp_replace(text, '\\P{Lu}', '', 'g')) AS n_upper
+  FROM own LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words
+    OR word_chars > 15 * n_words OR 2 * n_letters < word_chars OR 2 * n_upper > n_letters) AS kept
+FROM judged
+"""
+
 _OP6 = """
 WITH own AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -98,4 +153,4 @@ SELECT page_id, host, path, rule,
 FROM parts LEFT JOIN fit USING (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_zip_warc": _OP6, "op8_ngram_decontamination": _OP8, "op9_digest_url_filter": _OP9}
+ORACLE_SQL: dict[str, str] = {"op5_rule_cascade": _OP5, "op6_zip_warc": _OP6, "op8_ngram_decontamination": _OP8, "op9_digest_url_filter": _OP9}
