@@ -40,7 +40,7 @@ BASE_RULES = (
 )
 OWN_RULES = (
     Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
     Rule("no_letters", lambda m: 2 * m["n_letters"] < m["word_chars"]),
     Rule("shouting", lambda m: 2 * m["n_upper"] > m["n_letters"]),
@@ -57,45 +57,50 @@ def _count(text: Column, other: str) -> Column:
     return F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), other, "")).cast("long")
 
 
-def _repeated(own: Column) -> Column:
-    """Words covered by 3-word windows that the text has twice or more."""
-    n = F.size(own) - 2
-    hashes = F.slice(F.transform(own, lambda w, i: F.xxhash64(w, F.get(own, i + 1), F.get(own, i + 2))), F.lit(1), F.greatest(n, F.lit(0)))
-    return hashes
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _covered(hashes: Column) -> Column:
-    def sorted_pairs() -> Column:
-        return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+def _repeated(own: Column) -> Column:
+    """Words covered by 3-word windows that the text has twice or more."""
+    windows = F.greatest(F.size(own) - 2, F.lit(0))
+    hashes = F.slice(F.transform(own, lambda w, i: F.xxhash64(w, F.get(own, i + 1), F.get(own, i + 2))), F.lit(1), windows)
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
 
     def places(pairs: Column) -> Column:
         again = F.filter(pairs, lambda e, i: (e["h"] == F.get(pairs, i - 1)["h"]) | (e["h"] == F.get(pairs, i + 1)["h"]))
         return F.sort_array(F.transform(again, lambda e: e["p"]))
 
-    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
-    # a window adds the words that its predecessor has not covered: 3 at most
-    total = F.aggregate(places(sorted_pairs()), start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).cast("long").alias("n")), lambda acc: acc["n"])
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(total)
+    def covered(found: Column) -> Column:
+        pairs = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        # a window adds the words that its predecessor has not covered: 3 at most
+        add = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).cast("long").alias("n"))
+        total = F.aggregate(_let(pairs, places), start, add, lambda acc: acc["n"])
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("long")).otherwise(total)
 
+    return _let(hashes, covered)
 
-def with_measures(docs: DataFrame) -> tuple[DataFrame, Measures]:
-    """``docs`` with helper columns, and the measures as expressions over them."""
-    text = F.col("text").cast("string")
-    full = F.coalesce(text, F.lit(""))
-    out = docs.withColumn("__words", words(text))
-    out = out.withColumn("__hashes", _repeated(F.col("__words")))
-    lines = F.filter(F.split(full, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    measures = {
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+
+def measures_of(text: Column, own: Column) -> Measures:
+    """The measures as expressions over a text and its words."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return {
+        "n_words": F.size(own).cast("long"),
+        "word_chars": F.char_length(F.array_join(own, "")).cast("long"),
         "n_symbols": _count(text, "[^#*$%&|<>]+"),
         "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _covered(F.col("__hashes")),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": _repeated(own),
         "n_letters": _count(text, "\\P{L}+"),
         "n_upper": _count(text, "\\P{Lu}+"),
     }
-    return out, measures
+
+
+def _over(body: Callable[[Measures], Column]) -> Column:
+    """``body`` of the measures of column text, whose words are cut once."""
+    text = F.col("text").cast("string")
+    return _let(words(text), lambda own: body(measures_of(text, own)))
 
 
 def cascade(rules: Sequence[Rule], measures: Measures) -> Column:
@@ -112,17 +117,16 @@ def plan_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAM
     if len(rules) < 2:
         return list(rules)
     rows = stash(docs.select("text").limit(sample))
-    held, measures = with_measures(rows)
     cost = {}
     for rule in rules:
         runs = []
         for _ in range(2):
             began = clock()
-            held.agg(F.count_if(rule.rejects(measures))).collect()
+            rows.agg(F.count_if(_over(rule.rejects))).collect()
             runs.append(clock() - began)
         cost[rule.name] = max(min(runs), 1e-6)
-    flags = [F.coalesce(rule.rejects(measures), F.lit(False)).alias(rule.name) for rule in rules]
-    left = [(r.asDict(), r["n"]) for r in held.select(*flags).groupBy(*[r.name for r in rules]).agg(F.count("*").alias("n")).collect()]  # at most 2^rules rows
+    flags = [F.coalesce(_over(rule.rejects), F.lit(False)).alias(rule.name) for rule in rules]
+    left = [(r.asDict(), r["n"]) for r in rows.select(*flags).groupBy(*[r.name for r in rules]).agg(F.count("*").alias("n")).collect()]  # at most 2^rules rows
     out, rest = [], list(rules)
     while rest:
         gain = {r.name: sum(n for row, n in left if row[r.name]) / cost[r.name] for r in rest}
@@ -141,15 +145,20 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] | None = None) -> Data
     itself; an empty table gives no rows; other columns are ignored.
     """
     own = plan_order(docs, OWN_RULES) if rules is None else list(rules)
-    held, measures = with_measures(docs.select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    held = held.select("doc_id", "text", "__words", *[measures[c].alias(c) for c in counts])
-    known = measures | {c: F.col(c) for c in counts}
-    failed = F.coalesce(cascade(BASE_RULES, known).isNotNull(), F.lit(False))
-    return held.select("doc_id", *counts, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(cascade(own, known).isNull()).alias("kept"))
+
+    def all_of(m: Measures) -> Column:
+        base = F.struct(*[m[c].alias(c) for c in counts])
+        return _let(base, lambda c: _judged(m | {k: c[k] for k in counts}, c))
+
+    def _judged(m: Measures, base: Column) -> Column:
+        failed = F.coalesce(cascade(BASE_RULES, m).isNotNull(), F.lit(False))
+        return F.struct(*[base[c].alias(c) for c in counts], failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(cascade(own, m).isNull()).alias("kept"))
+
+    return docs.select("doc_id", _over(all_of).alias("r")).select("doc_id", "r.*")
 
 
 def filter_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[Rule] | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns."""
-    held, measures = with_measures(docs)
-    return held.filter(cascade(plan_order(docs, rules) if order is None else order, measures).isNull()).select(docs.columns)
+    use = plan_order(docs, rules) if order is None else list(order)
+    return docs.filter(_over(lambda m: cascade(use, m)).isNull())
