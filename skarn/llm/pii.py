@@ -19,6 +19,8 @@ Rows that no term was found for never leave their partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,8 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _valid(kind: str, value: Column) -> Column:
+def _valid(kind: str, span: Column) -> Column:
+    value = span["value"]
     if kind == "ip":
         return F.forall(F.split(value, "\\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").rlike("^([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
@@ -57,6 +60,14 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _valid_of(kind: str) -> Callable[[Column], Column]:
+    return lambda span: _valid(kind, span)
+
+
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def find_spans(text: Column, pattern: Column, kind: str) -> Column:
     """array<struct<kind, start, end, value>> of the pattern's matches, in code points, end exclusive.
 
@@ -81,7 +92,7 @@ def base_spans(text: Column) -> Column:
     parts = []
     for kind in KINDS:
         gate = text.rlike(PATTERNS[kind]) if _GATES[kind] is None else F.contains(text, F.lit(_GATES[kind])) & text.rlike(PATTERNS[kind])
-        found = F.filter(find_spans(text, F.lit(PATTERNS[kind]), kind), lambda s, kind=kind: _valid(kind, s["value"]))
+        found = F.filter(find_spans(text, F.lit(PATTERNS[kind]), kind), _valid_of(kind))
         parts.append(F.when(gate, found).otherwise(none))
     return F.concat(*parts)
 
@@ -178,7 +189,7 @@ def privacy_report(docs: DataFrame) -> DataFrame:
     more = _more(own, stash(disclosing_terms(own, found)))
     full = found.select("doc_id", "__key", F.col("__places").alias("spans")).join(more.select("__key", _places(F.col("__more")).alias("more")), "__key", "left")
     base = F.col("spans")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return full.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.when(F.col("more").isNotNull(), F.concat(base, "more")).otherwise(base)).alias("spans"))
 
 
