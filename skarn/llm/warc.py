@@ -83,7 +83,7 @@ def central_directory(read: Reader, size: int) -> dict[str, tuple[int, int, int]
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)  # the signature can stand in a comment
     if at < 0:
         raise ValueError("no end of a central directory: not a ZIP package, or cut short")
