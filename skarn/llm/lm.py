@@ -315,11 +315,12 @@ def score_texts(docs: DataFrame, backoff: float = BACKOFF, chunk_words: int = CH
     ranges = max(4, -(-size // range_bytes))
     kind = docs.schema["doc_id"].dataType
     messages = own.mapInArrow(_chunks(ranges, chunk_words), _SCHEMA)
-    answers = stash(messages.repartition(ranges, "dest").sortWithinPartitions("dest", "kind").mapInArrow(_answer, _SCHEMA))
+    answers = stash(messages.repartitionById(ranges, F.col("dest").cast("int")).sortWithinPartitions("dest", "kind").mapInArrow(_answer, _SCHEMA))
     root = Root()
     for row in answers.filter(F.col("kind") == TOTALS).select("payload").toLocalIterator():  # one small row a range
         part = pickle.loads(row[0])
         root = Root(root.tokens + part.tokens, root.distinct + part.distinct, root.once + part.once, root.twice + part.twice, root.documents + part.documents)
-    dealt = answers.filter(F.col("kind") != TOTALS).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    # a few times as many partitions as chunks, so that seldom two meet in one
+    dealt = answers.filter(F.col("kind") != TOTALS).repartition(4 * ranges, "chunk").sortWithinPartitions("chunk", "kind")
     scored = dealt.mapInArrow(_scores(root, backoff), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(root.tokens).cast("long").alias("train_tokens"), "base_score", "score")

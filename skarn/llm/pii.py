@@ -173,8 +173,10 @@ def _joined(spans: Column) -> Column:
 def _more(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """__key and __more for every different text that has disclosing terms."""
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    chosen = docs.select("text", key.alias("__key")).join(terms.select("__key").distinct(), "__key", "left_semi").dropDuplicates(["__key"])
-    return term_spans(_with_spans(chosen), terms).select("__key", "__more")
+    # one row of each text leaves a partition, however many copies it holds, and none without an entity
+    found = _with_spans(docs.select("text", key.alias("__key"))).filter(F.size("__spans") > 0)
+    once = found.groupBy("__key").agg(F.first("text").alias("text"))
+    return term_spans(_with_spans(once.join(terms.select("__key").distinct(), "__key", "left_semi")), terms).select("__key", "__more")
 
 
 def privacy_report(docs: DataFrame) -> DataFrame:

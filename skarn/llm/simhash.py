@@ -260,9 +260,8 @@ def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:
     hash, so every class keeps exactly one row; of equal rows one stays.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = {"__late": F.col("doc_id").isNull(), "__id": F.col("doc_id"), "__crc": F.xxhash64(text)}
-    found = near_duplicates(docs.select(F.struct(*[c.alias(k) for k, c in parts.items()]).alias("doc_id"), "text"), bits)
-    first = found.select("component_id").distinct().select("component_id.*")
-    held = docs.withColumns(parts)
-    same = [held[k].eqNullSafe(first[k]) for k in parts]
-    return held.join(first, same[0] & same[1] & same[2], "left_semi").dropDuplicates(list(parts)).select(docs.columns)
+    # one key for the join and for the rows of equal key, so that texts are shuffled once
+    key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), bits)
+    first = found.select(F.col("component_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
