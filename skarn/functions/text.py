@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 
 #: Shapes of the tokens that the token estimate counts.
 ATOM = "[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]"
-#: What separates words in the overlap measures: white space and ASCII punctuation.
-WORD_BREAK = "[\\s\\p{Punct}]+"
+# The words and patterns below decide results and are not free to change.
+#: What separates words in the overlap measures.
+WORD_BREAK = "[\\s,.;:!?()\"'`\\-+/\\\\_]+"
 GAP_STOP_WORDS = (
-    "como para com uma dos das que sobre qual quais onde quando quem porque "
-    "what when where which who how why the and for with from about"
+    "como para com uma dos das que sobre qual quais onde quando quem este esta isso isto pelo pela "
+    "what with this that these those from about their"
 ).split()
+#: Endings of the files that a note can cite.
+CITED_ENDINGS = "ts|tsx|js|jsx|mjs|cjs|py|dart|kt|kts|java|go|rs|md|json|yaml|yml"
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript",
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
     ".py": "python", ".pyi": "python", ".go": "go", ".rs": "rust", ".java": "java",
     ".kt": "kotlin", ".kts": "kotlin", ".dart": "dart", ".cs": "csharp", ".csx": "csharp",
 }
-IGNORED_FOLDERS = ["node_modules", ".git", "dist", "build", "coverage", "target", "vendor", "__pycache__"]
+#: Among them this library's own folder of state.
+IGNORED_FOLDERS = ["node_modules", ".pnpm-store", ".git", ".skarn", "dist", "build", ".next", "coverage"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -152,17 +156,35 @@ def classify_note(title: Column, body: Column, tags: Column) -> Column:
     )
 
 
-def note_id(path: Column) -> Column:
-    return F.substring(F.sha2(path.cast("binary"), 256), 1, 12)
+def note_id(path: Column, content: Column) -> Column:
+    """Sixteen hex digits that tell a file of this path and content from all others."""
+    return F.substring(F.sha2(F.concat(path, F.lit("\n"), content).cast("binary"), 256), 1, 16)
 
 
 def wikilinks(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("\\[\\[([^\\]|#]+)"), F.lit(1)))
+    """Targets of [[target]] and [[target|label]]."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]"), F.lit(1)))
 
 
 def cited_paths(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.[A-Za-z0-9]+)"), F.lit(1)))
+    """Paths of known endings after white space, a quote or a bracket, without leading ./ and doubled slashes."""
+    found = F.regexp_extract_all(text, F.lit(f"(?:^|[\\s`'\"(])([a-zA-Z0-9_@./-]+\\.(?:{CITED_ENDINGS}))\\b"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(p, "^\\./+", ""), "/+", "/")))
 
 
 def code_mentions(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_.]*)`"), F.lit(1)))
+    """Names of two letters or more between backticks."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("`([A-Za-z_][A-Za-z0-9_]+)`"), F.lit(1)))
+
+
+def _letters(text: Column) -> Column:
+    return F.split(text, "")
+
+
+def first_gram(term: Column, n: int = 4) -> Column:
+    return let(_letters(term), lambda c: F.array_join(F.slice(c, 1, n), ""))
+
+
+def grams(text: Column, n: int = 4) -> Column:
+    """The different runs of ``n`` characters: whatever a text contains has its first gram among them."""
+    return let(_letters(text), lambda c: F.array_distinct(F.transform(c, lambda x, i: F.concat_ws("", x, *[F.get(c, i + k) for k in range(1, n)]))))

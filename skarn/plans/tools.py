@@ -195,7 +195,7 @@ def explore(index: Index, target: str, depth: int = 3, include_tests: bool = Fal
     lines, tokens, n, _, _ = STYLES[style]
     data = {"central_symbols": central, "relevant_files": relevant, "imports": imports, "callers": callers, "callees": callees, "snippets": snippets(central.limit(n), index.files, lines, tokens)}
     if relations is not None:
-        data["memory_refs"] = relations.filter(((F.col("entity_kind") == "path") & (F.col("entity") == path)) | ((F.col("entity_kind") == "symbol") & (F.col("entity") == F.lit(name))))
+        data["memory_refs"] = relations.filter(((F.col("entity_kind") == "path") & (F.col("entity") == path)) | ((F.col("entity_kind") == "symbol") & F.endswith(F.col("entity"), F.lit(f"::{name}"))))
     return Answer(OK, data)
 
 
@@ -355,7 +355,7 @@ def remember(facts: DataFrame, content: str, now: str, kind: str = "inbox", tags
     meta = {"title": first, "type": kind, "tags": tags or [], "links": links or [], "scope": scope, "source": "direct_capture", "confidence": confidence, "observed_at": now, "created_at": now, "updated_at": now}
     file = notes.render(meta, content)
     note = notes.normalise(notes.parse(spark.createDataFrame([(row["path"], file)], "path string, content string")))
-    out = structure.apply_delta(facts, note.select(facts.columns), spark.createDataFrame([], "id string"), "id")
+    out = structure.apply_delta(facts, note.select(facts.columns), spark.createDataFrame([], "path string"), "path")
     status_ = note.select("id", "path", F.when(F.char_length("text") > 8000, "pending").otherwise("ready").alias("embedding_status"))
     return out, Answer(OK, {"note": status_, "file": spark.createDataFrame([(row["path"], file)], "path string, content string")})
 
@@ -398,10 +398,10 @@ def consolidate(facts: DataFrame, dry_run: bool = True, threshold: float = 0.92)
     relations = memory.entity_graph(facts).filter("entity_kind <> 'tag'")
     shared = memory.shared_entity_pairs(relations, "note", "entity").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     copies = act(pairs, "duplicata", "sugerida", F.array("a", "b"), F.lit("lexical"), F.col("score")).unionByName(act(shared, "duplicata", "sugerida", F.array("a", "b"), F.concat(F.lit("entity:"), "entity")))
-    found = memory.supersessions(facts, memory.jaccard_pairs(facts.select("id", "text"), threshold, "id"))
+    found = memory.supersessions(facts, threshold)
     first = found.withColumn("k", F.row_number().over(Window.partitionBy("origin").orderBy(F.desc("score"), "current")))
     chain = first.join(first.filter("k = 1").select(F.col("origin").alias("current"), F.lit(True).alias("gone")), "current", "left")
-    superseded = act(chain, "substituicao", F.when((F.col("k") > 1) | F.coalesce("gone", F.lit(False)), "bloqueada").otherwise(state), F.array("origin", "current"), F.col("reason"), F.col("score"))
+    superseded = act(chain, "supersedencia", F.when((F.col("k") > 1) | F.coalesce("gone", F.lit(False)), "bloqueada").otherwise(state), F.array("origin", "current"), F.col("reason"), F.col("score"))
     against = act(facts.filter(memory.filled(F.col("contradiction_reason"))), "contradicao", "bloqueada", F.array("id"), F.col("contradiction_reason"))
     return Answer(OK, {"actions": triage.unionByName(copies).unionByName(superseded).unionByName(against)})
 

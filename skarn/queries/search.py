@@ -167,15 +167,14 @@ _LISTS = f"""
 WITH dense AS (SELECT vec_id AS id, score, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS rank FROM ({_DENSE.replace("FILTER", "TRUE").replace("LIMIT 20", "LIMIT 50")})),
 lex AS (
   SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) - 1 AS rank
-  FROM (SELECT doc_id, len(list_filter({_TOKENS}, lambda t: t = 'the')) AS n FROM documents WHERE doc_id < (SELECT count(*) FROM embeddings)) ORDER BY n DESC, doc_id LIMIT 50
+  FROM (SELECT doc_id, len(list_filter({_TOKENS}, lambda t: t = 'the')) AS n FROM documents) ORDER BY n DESC, doc_id LIMIT 50
 ), fused AS (SELECT id, sum(1.0::DOUBLE / (61 + rank)) AS score FROM (SELECT id, rank FROM dense UNION ALL SELECT id, rank FROM lex) GROUP BY id)
 """
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dense = _nearest(spark, sf_dir, False, 50).withColumnRenamed("vec_id", "id")
-    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n_vectors"))
-    d = table(spark, sf_dir, "documents").join(F.broadcast(n)).filter("doc_id < n_vectors")
+    d = table(spark, sf_dir, "documents")
     counted = d.select(F.col("doc_id").alias("id"), F.size(F.filter(tx.tokens(F.col("text")), lambda t: t == "the")).alias("n"))
     return dense, vector.ranked(counted.orderBy(F.desc("n"), "id").limit(50), F.desc("n"), F.col("id")).select("id", "rank")
 
@@ -226,10 +225,10 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.count_tokens(F.col("text")).alias("n"))
 
 
-@query("SELECT doc_id, substr(sha256('notes/' || source || '/' || doc_id || '.md'), 1, 12) AS note FROM documents")
+@query("SELECT doc_id, substr(sha256('notes/' || source || '/' || doc_id || '.md' || chr(10) || text), 1, 16) AS note FROM documents")
 def note_identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("notes/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.note_id(path).alias("note"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.note_id(path, F.col("text")).alias("note"))
 
 
 @query("SELECT doc_id, sha256(substr(source || ' ' || lang || ' ' || 'note' || chr(10) || text, 1, 2000)) AS digest FROM documents")

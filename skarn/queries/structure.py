@@ -77,7 +77,7 @@ def importers_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH calls AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 < 10),
+WITH calls AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer),
 tiers AS (
   SELECT c_custkey, s_suppkey AS target, 1 AS tier FROM calls JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > 9000
   UNION ALL SELECT c_custkey, s_suppkey, 2 FROM calls JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey AND s_acctbal > 9000
@@ -131,15 +131,15 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SNAPSHOTS = """
-WITH p AS (SELECT doc_id AS path, n_chars AS size, doc_id * 10 AS mtime FROM documents WHERE doc_id % 7 <> 3),
-d AS (SELECT doc_id AS path, n_chars + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS size, doc_id * 10 + (CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END) AS mtime FROM documents WHERE doc_id % 13 <> 4)
+WITH p AS (SELECT doc_id AS path, n_chars AS size, doc_id * 10 AS mtime FROM documents WHERE lang <> 'es'),
+d AS (SELECT doc_id AS path, n_chars + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS size, doc_id * 10 + (CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END) AS mtime FROM documents WHERE lang <> 'de')
 """
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 10).alias("mtime"))
-    later = d.filter("path % 13 <> 4").withColumns({"size": F.col("size") + F.when(F.col("path") % 5 == 0, 1).otherwise(0), "mtime": F.col("mtime") + F.when(F.col("path") % 11 == 0, 1).otherwise(0)})
-    return d.filter("path % 7 <> 3"), later
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 10).alias("mtime"), "lang")
+    later = d.filter("lang <> 'de'").drop("lang").withColumns({"size": F.col("size") + F.when(F.col("path") % 5 == 0, 1).otherwise(0), "mtime": F.col("mtime") + F.when(F.col("path") % 11 == 0, 1).otherwise(0)})
+    return d.filter("lang <> 'es'").drop("lang"), later
 
 
 @query(_SNAPSHOTS + "SELECT path, CASE WHEN p.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'removed' WHEN p.size = d.size AND p.mtime = d.mtime THEN 'unchanged' ELSE 'changed' END AS change FROM p FULL JOIN d USING (path)")
@@ -161,10 +161,10 @@ def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, sha256(text) AS h FROM documents) WHERE (doc_id, h) NOT IN (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256(text) END FROM documents WHERE doc_id % 4 <> 1)")
+@query("SELECT doc_id FROM (SELECT doc_id, sha256(text) AS h FROM documents) WHERE (doc_id, h) NOT IN (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old' ELSE sha256(text) END FROM documents WHERE lang <> 'fr')")
 def changed_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
-    stored = now.filter("doc_id % 4 <> 1").withColumn("content_hash", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("content_hash")))
+    now = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    stored = now.filter("lang <> 'fr'").withColumn("content_hash", F.when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("content_hash")))
     return now.join(stored, ["doc_id", "content_hash"], "left_anti").select("doc_id")
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from skarn.functions.text import note_id
 
 FIELDS = ("type", "scope", "source", "confidence", "observed_at", "valid_from", "valid_until", "superseded_by", "supersedes", "stale_reason", "contradiction_reason", "created_at", "updated_at")
-SCOPES, SOURCES, CONFIDENCES = ("project", "global", "local", "org"), ("direct_capture", "imported", "v1_migration", "dream"), ("confirmed", "inferred", "presumed")
-TYPES = ("decision", "meeting", "project", "entity", "reference", "inbox")
+# The domains of the front matter.  The scope org is reserved: a note that claims it keeps it and is never read.
+SCOPES = ("project", "user", "session", "agent", "org")
+SOURCES = ("direct_capture", "agent_inference", "v1_migration", "document_import")
+CONFIDENCES = ("confirmed", "inferred", "presumed")
+TYPES = ("inbox", "decision", "meeting", "entity", "project", "reference")
 
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +39,7 @@ def parse(files: DataFrame) -> DataFrame:
     held = files.withColumns({"__m": table, "text": body})
     value = lambda k: F.nullif(F.regexp_replace(F.trim(F.try_element_at(F.col("__m"), F.lit(k))), "^[\"']|[\"']$", ""), F.lit(""))
     title = F.coalesce(value("title"), F.nullif(F.regexp_extract("text", r"(?m)^# +(.+)$", 1), F.lit("")), F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\.md$", ""))
-    return held.select(note_id(F.col("path")).alias("id"), "path", title.alias("title"), _list(value("tags")).alias("tags"), _list(value("links")).alias("links"), "text", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), *[value(k).alias(k) for k in FIELDS])
+    return held.select(note_id(F.col("path"), F.col("content")).alias("id"), "path", title.alias("title"), _list(value("tags")).alias("tags"), _list(value("links")).alias("links"), "text", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), *[value(k).alias(k) for k in FIELDS])
 
 
 def normalise(notes: DataFrame) -> DataFrame:

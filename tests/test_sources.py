@@ -61,10 +61,10 @@ def test_precise_references_become_edges(spark):
 
 
 def test_front_matter(spark):
-    text = "---\ntitle: 'A b'\ntags: [x, \"y\"]\nlinks: p, q\nscope: nowhere\nscope: global\nconfidence: sure\nobserved_at: not a date\n---\nbody [[w]]\n"
+    text = "---\ntitle: 'A b'\ntags: [x, \"y\"]\nlinks: p, q\nscope: nowhere\nscope: agent\nconfidence: sure\nobserved_at: not a date\n---\nbody [[w]]\n"
     files = spark.createDataFrame([("d/n.md", text), ("plain.md", "# Head\ntext")], "path string, content string")
     a, b = notes.normalise(notes.parse(files)).orderBy("path").collect()
-    assert (a["title"], a["tags"], a["links"], a["scope"], a["confidence"], a["observed_at"], a["warnings"]) == ("A b", ["x", "y"], ["p", "q"], "global", "presumed", None, ["E_MEMORY_V2_CONFIDENCE"])
+    assert (a["title"], a["tags"], a["links"], a["scope"], a["confidence"], a["observed_at"], a["warnings"]) == ("A b", ["x", "y"], ["p", "q"], "agent", "presumed", None, ["E_MEMORY_V2_CONFIDENCE"])
     assert (b["title"], b["source"], b["text"]) == ("Head", "v1_migration", "# Head\ntext")
 
 
