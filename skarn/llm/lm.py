@@ -203,7 +203,8 @@ def _chunks(ranges: int, chunk_words: int):
             is_word[word] = True
             dest = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             cut = np.searchsorted(dest, np.arange(ranges + 1))
-            rows = [(at % ranges, SEQUENCE, at, 0, chunk.dump())]
+            # dealt round by task: by ``at``, whose low bits are the same for all tasks, they would meet in a few ranges
+            rows = [((task + n) % ranges, SEQUENCE, at, 0, chunk.dump())]
             for r in range(ranges):
                 a, b = int(cut[r]), int(cut[r + 1])
                 if a < b:
