@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import decontaminate, packing, pii, quality_rules, simhash
+from skarn.llm import decontaminate, near_copies, packing, pii, quality_rules, simhash
 from skarn.llm.common import stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,10 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class that SimHashes at op10's two bits link."""
     return simhash.deduplicate(docs)
 
 
+def near_copy_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class that these links or five-word shingles with a similarity of 0.8 join."""
+    return near_copies.deduplicate(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), "documents")
@@ -41,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("privacy", privacy), ("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_duplicates", near_copy_classes), ("decontamination", decontamination), ("privacy", privacy), ("packing", packed)]
 
 #: SimHash and the tokenizer have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
