@@ -11,10 +11,12 @@ of the entity's information: 1 if it never occurs elsewhere, 0 if it is
 independent.  Terms from ``GENERALISE`` on are generalised to a class, from
 ``REMOVE`` on removed, given at least ``SUPPORT`` different texts with both.
 
+They are in every text that has them, with or without the entity.
+
 Plan: one pass finds the entities of every row and, for rows that have some, the
 (entity, term) pairs; a narrow table keeps them.  A second pass counts terms,
-aggregated before the shuffle.  Pairs meet term counts in a join on the term.
-Rows that no term was found for never leave their partition.
+aggregated before the shuffle.  Pairs meet term counts in a join on the term.  A
+third pass finds the texts of the terms that disclose.
 """
 
 from __future__ import annotations
@@ -117,9 +119,12 @@ def _line_pairs(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lines, of)))
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def _with_spans(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__text": text, "__spans": base_spans(text)})
+    return docs.withColumns({"__text": _text(), "__spans": base_spans(_text())})
 
 
 def evidence(docs: DataFrame, *keep: str) -> DataFrame:
@@ -135,18 +140,19 @@ def _places(spans: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """__key, term, share: the terms of each text that disclose one of its entities.  ``found``: the evidence of ``docs``."""
+    """__key, term, share: the terms of each text, with or without the entity, that disclose one.  ``found``: the evidence of ``docs``."""
     pairs = found.select("__key", F.explode("__pairs").alias("p")).select("__key", "p.entity", "p.term")
     by_text = pairs.groupBy("__key", "entity", "term").agg(F.count("*").alias("n"))
     # copies of one text are one piece of evidence
     both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     n_entity = found.select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))
-    n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    words = docs.select(F.xxhash64(_text()).alias("__key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_text()), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(max(1, docs.count())))
     share = F.log(total * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(total / F.col("n_entity"))
     strong = both.join(n_entity, "entity").join(n_term, "term").withColumn("share", share).filter(F.col("share") >= generalise)
-    return by_text.join(strong.select("entity", "term", "share"), ["entity", "term"]).groupBy("__key", "term").agg(F.max("share").alias("share"))
+    worst = stash(strong.groupBy("term").agg(F.max("share").alias("share")))
+    return words.join(worst, "term").select("__key", "term", "share").distinct()
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
@@ -172,11 +178,9 @@ def _joined(spans: Column) -> Column:
 
 def _more(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """__key and __more for every different text that has disclosing terms."""
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # one row of each text leaves a partition, however many copies it holds, and none without an entity
-    found = _with_spans(docs.select("text", key.alias("__key"))).filter(F.size("__spans") > 0)
-    once = found.groupBy("__key").agg(F.first("text").alias("text"))
-    return term_spans(_with_spans(once.join(terms.select("__key").distinct(), "__key", "left_semi")), terms).select("__key", "__more")
+    held = docs.select("text", F.xxhash64(_text()).alias("__key")).join(terms.select("__key").distinct(), "__key", "left_semi")
+    once = held.groupBy("__key").agg(F.first("text").alias("text"))  # one row of each text leaves a partition, however many copies it holds
+    return term_spans(_with_spans(once), terms).select("__key", "__more")
 
 
 def privacy_report(docs: DataFrame) -> DataFrame:
@@ -211,15 +215,15 @@ def _mask(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with protected entities replaced by their kind and disclosing terms generalised or removed.
 
-    Every row stays; texts without entities, and nulls, come back as they were.
+    Every row stays; texts without either, and nulls, come back as they were.
     n_chars, where there is such a column, follows the text.
     """
-    held = _with_spans(docs)
-    plain = held.filter(F.size("__spans") == 0).select(docs.columns)
-    more = _more(docs, stash(disclosing_terms(docs, evidence(docs))))
-    full = held.filter(F.size("__spans") > 0).withColumn("__key", F.xxhash64("__text")).join(more, "__key", "left")
+    more = stash(_more(docs, stash(disclosing_terms(docs, evidence(docs)))))
+    full = _with_spans(docs.withColumn("__key", F.xxhash64(_text()))).join(more, "__key", "left")
     spans = F.when(F.col("__more").isNotNull(), F.concat("__spans", "__more")).otherwise(F.col("__spans"))
-    masked = full.withColumn("text", _mask(F.col("__text"), spans))
+    out = full.withColumn("__all", spans)
+    masked = F.when(F.size("__all") > 0, _mask(F.col("__text"), F.col("__all"))).otherwise(F.col("text"))
+    out = out.withColumn("__new", masked)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(masked.select(docs.columns))
+        out = out.withColumn("n_chars", F.when(F.size("__all") > 0, F.char_length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("__new")).select(docs.columns)

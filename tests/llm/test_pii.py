@@ -88,3 +88,19 @@ def test_odd_rows(docs):
     assert len(rows) == docs.count() and all(r["spans"] == "" for r in rows)
     assert pii.privacy_report(docs.limit(0)).count() == 0
     assert sorted(map(str, pii.sanitise(docs).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_disclosing_terms_are_treated_in_texts_without_the_entity(spark):
+    rows = [(i, f"mail Zaphodia at zed@mail.org today number{i}", 0) for i in range(100)]
+    rows += [(100 + i, f"text by Zaphodia, other{i}", 0) for i in range(5)] + [(200, rows[0][1], 0), (201, None, None)]
+    rows += [(1000 + i, f"text mail today plain{i}", 7) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    out = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in pii.privacy_report(docs).collect()}
+    assert len(out) == len(rows)
+    for i, text, n in rows:
+        if "Zaphodia" in (text or ""):
+            at = text.index("Zaphodia")
+            assert f":{at}:{at + 8}" in spans[i] and "Zaphodia" not in out[i]["text"] and out[i]["n_chars"] == len(out[i]["text"])
+        else:
+            assert spans[i] == "" and (out[i]["text"], out[i]["n_chars"]) == (text, n)
