@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation, in DataFrame and SQL functions alone.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers
-that patterns find.  A term (a word of letters) on a line with an entity may
-reveal it as well.  Over the whole corpus, with N texts, n(e) texts with the
-entity, n(t) with the term and n(e,t) with both on one line, the term discloses
+that patterns find.  A term (a word of letters outside the entities) in a text
+with an entity may reveal it as well.  Over the whole corpus, with N texts, n(e)
+texts with the entity, n(t) with the term and n(e,t) with both, wherever they
+stand in the text, the term discloses
 
     PMI(e; t) / IC(e) = log(N n(e,t) / (n(e) n(t))) / log(N / n(e))
 
@@ -13,8 +14,9 @@ independent.  Terms from ``GENERALISE`` on are generalised to a class, from
 
 They are in every text that has them, with or without the entity.
 
-Plan: one pass finds the entities of every row and, for rows that have some, the
-(entity, term) pairs; a narrow table keeps them.  A second pass counts terms,
+Plan: one pass finds the entities of every row; a narrow table keeps them.  Only
+an entity of ``SUPPORT`` different texts can have a term with as many, so only
+its texts, each once, give (entity, term) pairs.  A second pass counts terms,
 aggregated before the shuffle.  Pairs meet term counts in a join on the term.  A
 third pass finds the texts of the terms that disclose.
 """
@@ -44,7 +46,9 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be worth running.
 _GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"\p{L}{4,}"
+#: What may be a term: a word of three letters, of two with a capital first, or of one or two without case.
+TERM = r"(?<!\p{L})(?:\p{L}{3,}+|\p{Lu}\p{L}|\p{Lo}{1,2})(?!\p{L})"
+WORD = r"\p{L}+"
 
 
 def _digits(value: Column) -> Column:
@@ -105,18 +109,21 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], value)
 
 
-def _line_pairs(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term>>: each entity with each different term of the lines it stands on."""
-    value = F.split(text, "\n", -1)
-    lines = F.filter(value, lambda line: F.exists(spans, lambda s: F.contains(line, s["value"])))
+def _words(text: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
-    def of(line: Column) -> Column:
-        bare = F.lower(F.aggregate(spans, line, lambda acc, s: F.replace(acc, s["value"], F.lit(" "))))
-        terms = F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)))
-        own = F.array_distinct(F.transform(F.filter(spans, lambda s: F.contains(line, s["value"])), _entity))
-        return F.flatten(F.transform(own, lambda e: F.transform(terms, lambda t: F.struct(e.alias("entity"), t.alias("term")))))
 
-    return F.array_distinct(F.flatten(F.transform(lines, of)))
+def _bare_terms(text: Column, spans: Column) -> Column:
+    """Different terms of the text that stand outside its entities."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    bare = F.aggregate(order, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.char_length(text)))), " "))
+    return _words(bare, TERM)
 
 
 def _text() -> Column:
@@ -128,11 +135,9 @@ def _with_spans(docs: DataFrame) -> DataFrame:
 
 
 def evidence(docs: DataFrame, *keep: str) -> DataFrame:
-    """A written narrow table: columns ``keep``, __key (xxhash64 of the text), __places, and the row's __pairs and __entities."""
+    """A written narrow table: columns ``keep``, __key (xxhash64 of the text), __places and the row's __entities."""
     found = _with_spans(docs.select("text", *keep))
-    none = F.array().cast("array<struct<entity: bigint, term: string>>")
-    pairs = F.when(F.size("__spans") > 0, _line_pairs(F.col("__text"), F.col("__spans"))).otherwise(none)
-    return stash(found.select(*keep, F.xxhash64("__text").alias("__key"), _places(F.col("__spans")).alias("__places"), pairs.alias("__pairs"), F.array_distinct(F.transform("__spans", _entity)).alias("__entities")))
+    return stash(found.select(*keep, F.xxhash64("__text").alias("__key"), _places(F.col("__spans")).alias("__places"), F.array_distinct(F.transform("__spans", _entity)).alias("__entities")))
 
 
 def _places(spans: Column) -> Column:
@@ -141,12 +146,14 @@ def _places(spans: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """__key, term, share: the terms of each text, with or without the entity, that disclose one.  ``found``: the evidence of ``docs``."""
-    pairs = found.select("__key", F.explode("__pairs").alias("p")).select("__key", "p.entity", "p.term")
-    by_text = pairs.groupBy("__key", "entity", "term").agg(F.count("*").alias("n"))
+    own = found.select("__key", F.explode("__entities").alias("entity")).groupBy("__key", "entity").agg(F.count("*").alias("n"))
     # copies of one text are one piece of evidence
-    both = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    n_entity = found.select(F.explode("__entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.xxhash64(_text()).alias("__key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_text()), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_entity = stash(own.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts"))
+    held = stash(own.join(n_entity.select("entity"), "entity", "left_semi"))
+    once = docs.select(F.xxhash64(_text()).alias("__key"), "text").join(held.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
+    terms = stash(_with_spans(once).select("__key", F.explode(_bare_terms(F.col("__text"), F.col("__spans"))).alias("term")))
+    both = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    words = docs.select(F.xxhash64(_text()).alias("__key"), F.explode(_words(_text(), WORD)).alias("term"))
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(max(1, docs.count())))
     share = F.log(total * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(total / F.col("n_entity"))

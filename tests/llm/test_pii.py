@@ -104,3 +104,11 @@ def test_disclosing_terms_are_treated_in_texts_without_the_entity(spark):
             assert f":{at}:{at + 8}" in spans[i] and "Zaphodia" not in out[i]["text"] and out[i]["n_chars"] == len(out[i]["text"])
         else:
             assert spans[i] == "" and (out[i]["text"], out[i]["n_chars"]) == (text, n)
+
+
+def test_terms_on_other_lines_and_short_names_disclose(spark):
+    rows = [(i, f"Xy Zaphodia\nfirst street{i}\n\nplain words\nzed@mail.org") for i in range(5)] + [(100 + i, f"plain words first street{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(out[i] == f" \nfirst street{i}\n\nplain words\n[EMAIL]" for i in range(5))
+    assert all(out[i] == t for i, t in rows if i >= 100)
