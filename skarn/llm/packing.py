@@ -52,7 +52,10 @@ class WordTokenizer(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        #: Literals that the tokenizer takes for tokens of its own before it lower-cases or cuts anything.
+        self.literals = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)  # of stretches: a literal that appears by lower-casing is none
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
 
@@ -71,6 +74,8 @@ class WordTokenizer(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(literal in text for literal in self.literals):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.encode().lower().replace(b"\n", b" ").split(b" ")))
 
 
