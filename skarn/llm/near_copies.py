@@ -31,6 +31,8 @@ BANDS, ROWS = 40, 6
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles permuted at once: 2 KB each.
 _SLICE = 2048
+#: Texts that a task remembers, about 100 bytes each.
+SEEN = 200_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -73,9 +75,19 @@ def classes(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarra
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # copies in the same task are left out; the shuffle after it finds all others
     for batch in batches:
-        keys = [band_keys(s) if len(s) else [] for s in (shingles(t.as_py()) for t in batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+        nodes, keys = [], []
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if node in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            own = shingles(text.as_py())
+            nodes.append(node)
+            keys.append(band_keys(own) if len(own) else [])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +128,8 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     dealt = keys.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     tied = simhash.components(stash(dealt.mapInArrow(_ties, "a long, b long").distinct()))
     group = stash(tied.select(F.col("v").alias("node"), F.col("root").alias("group")).union(tied.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct()))
-    met = texts.join(group, "node").dropDuplicates(["node"]).select("group", "node", "text").repartition("group").sortWithinPartitions("group", "node")
+    once = texts.dropDuplicates(["node"])  # before the join: a partition sends each text once, however many copies it holds
+    met = once.join(group, "node").select("group", "node", "text").repartition("group").sortWithinPartitions("group", "node")
     return met.mapInArrow(_verified(similarity), "a long, b long")
 
 
@@ -134,6 +147,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bits: int = sim
     close = simhash.near_duplicates(texts.withColumnRenamed("node", "doc_id"), bits).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     stars = simhash.components(close.unionByName(links(texts, similarity)))
     key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), node.alias("hash"))
-    own = docs.select(key.alias("key"), node.alias("v")).join(stars, "v", "left")
+    # one row for each text before the join, so that no group of copies meets in a task
+    own = docs.select(key.alias("key"), node.alias("v")).groupBy("v").agg(F.min("key").alias("key")).join(stars, "v", "left")
     first = own.groupBy(F.coalesce("root", "v").alias("class")).agg(F.min("key").alias("__key")).select("__key")
     return docs.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)

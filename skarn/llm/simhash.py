@@ -12,8 +12,9 @@ six pairs of 8-bit quarters of its other 32 bits; below that at most 2^16
 different fingerprints remain, whatever the corpus holds.  Inside a node the
 fingerprints are sorted by Gray rank, which sets those with small differences
 side by side, and factored into a tree: an inner node keeps the bits on which
-all below agree.  A search runs down the tree for all members at once, adds the
-differences in the bits each level fixes, and prunes whole groups beyond two.
+all below agree.  The nodes of a batch are the roots of one forest.  A search
+runs down it for all members at once, adds the differences in the bits each
+level fixes, and prunes whole groups beyond two.
 
 Only distinct fingerprints are indexed (copies share one), nodes emit a spanning
 star for each class they see and not their pairs, and stars are joined to
@@ -23,6 +24,7 @@ classes by alternating large-star and small-star steps, all on the executors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,9 +36,11 @@ from pyspark.sql import functions as F
 from skarn.llm.common import stash
 
 SHINGLE, SEED, BITS = 3, 42, 2
-#: Members above which an upper node gets its second layer; those up to which members are compared directly.
-LARGE, SMALL = 8192, 48
+#: Members above which an upper node gets its second layer.
+LARGE = 8192
 FANOUT = 8
+#: A fingerprint that more than one row in HOT has is joined by broadcast: there are fewer than HOT of them.
+HOT = 256
 #: Search states held at once in a tree: about 40 bytes each.
 STATES = 1_000_000
 
@@ -79,48 +83,62 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels (pattern, agreed bits) from the root down to the leaves of fingerprints in Gray order."""
-    all_ones, all_zeros = fps, ~fps
-    levels = [(fps, np.full(len(fps), ~np.uint64(0)))]
-    while len(all_ones) > 1:
-        cut = np.arange(0, len(all_ones), FANOUT)
-        all_ones, all_zeros = np.bitwise_and.reduceat(all_ones, cut), np.bitwise_and.reduceat(all_zeros, cut)
-        levels.append((all_ones, all_ones | all_zeros))
-    return levels[::-1]
-
-
-def search(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of positions in ``fps`` that differ in at most ``bits`` bits, by the tree."""
-    order = np.argsort(gray_rank(fps), kind="stable")
-    fps = fps[order]
-    levels = tree(fps)
-    out_a, out_b = [], []
-    # (query, node, differences so far, level): depth first over slices, so that memory is bounded
-    stack = [(np.arange(len(fps)), np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64), 0)]
-    fixed_above = [np.zeros(1, np.uint64)] + [agreed for _, agreed in levels[:-1]]
+@dataclass
+class Level:
+    """Nodes of one depth: what all fingerprints below share, and where their children and leaves are."""
+
+    pattern: np.ndarray  # the agreed bits' values
+    agreed: np.ndarray
+    fresh: np.ndarray  # bits agreed here and not yet in the parent
+    first: np.ndarray  # first child in the next level
+    count: np.ndarray
+    last: np.ndarray  # last leaf below
+
+
+def forest(fps: np.ndarray, sizes: np.ndarray) -> list[Level]:
+    """Levels from the upper nodes (one for each run of ``sizes`` fingerprints, in Gray order within a run) to the leaves."""
+    n = len(fps)
+    none = np.zeros(n, np.int64)
+    levels = [Level(fps, np.full(n, ~np.uint64(0)), fps, none, none, np.arange(n))]
+    ones, zeros = fps, ~fps
+    while True:
+        nodes = -(-sizes // FANOUT)
+        k = np.arange(nodes.sum()) - np.repeat(np.cumsum(nodes) - nodes, nodes)
+        first = np.repeat(np.cumsum(sizes) - sizes, nodes) + k * FANOUT
+        count = np.minimum(FANOUT, np.repeat(sizes, nodes) - k * FANOUT)
+        ones, zeros = np.bitwise_and.reduceat(ones, first), np.bitwise_and.reduceat(zeros, first)
+        agreed, below = ones | zeros, levels[-1]
+        below.fresh = below.agreed & ~np.repeat(agreed, count)
+        levels.append(Level(ones, agreed, agreed, first, count, below.last[first + count - 1]))
+        if sizes.max() <= FANOUT:
+            return levels[::-1]
+        sizes = nodes
+
+
+def search(fps: np.ndarray, sizes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of positions that differ in at most ``bits`` bits, inside each run of ``sizes`` fingerprints in Gray order."""
+    levels = forest(fps, sizes)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # (query, node, differences so far, depth): depth first over slices, so that memory is bounded
+    stack = [(np.arange(len(fps)), np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(fps), np.int64), 0)]
     while stack:
-        query, node, cost, level = stack.pop()
+        query, node, cost, depth = stack.pop()
         if len(query) > STATES:
             half = len(query) // 2
-            stack += [(query[:half], node[:half], cost[:half], level), (query[half:], node[half:], cost[half:], level)]
+            stack += [(query[:half], node[:half], cost[:half], depth), (query[half:], node[half:], cost[half:], depth)]
             continue
-        pattern, agreed = levels[level]
-        fresh = agreed[node] & ~fixed_above[level][node // FANOUT if level else node]
-        cost = cost + np.bitwise_count((fps[query] ^ pattern[node]) & fresh)
-        keep = cost <= bits
+        level = levels[depth]
+        cost = cost + np.bitwise_count((fps[query] ^ level.pattern[node]) & level.fresh[node])
+        keep = (cost <= bits) & (level.last[node] > query)  # each pair once, from its smaller end
         query, node, cost = query[keep], node[keep], cost[keep]
-        if level == len(levels) - 1:
-            pair = query < node
-            out_a.append(query[pair])
-            out_b.append(node[pair])
+        if depth == len(levels) - 1:
+            out_a.append(query)
+            out_b.append(node)
             continue
-        below = len(levels[level + 1][0])
-        child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        inside = child < below
-        stack.append((np.repeat(query, FANOUT)[inside], child[inside], np.repeat(cost, FANOUT)[inside], level + 1))
-    a, b = order[np.concatenate(out_a)], order[np.concatenate(out_b)]
-    return np.minimum(a, b), np.maximum(a, b)
+        child = level.first[node][:, None] + np.arange(FANOUT)
+        inside = (np.arange(FANOUT) < level.count[node][:, None]).ravel()
+        stack.append((np.repeat(query, FANOUT)[inside], child.ravel()[inside], np.repeat(cost, FANOUT)[inside], depth + 1))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,26 +155,16 @@ def classes(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _stars(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars (member, centre) of the links inside runs of equal keys."""
+    """Spanning stars (member, centre) of the links inside runs of equal keys: one forest whose roots are the upper nodes."""
+    order = np.lexsort((gray_rank(fps), keys))
+    keys, fps = keys[order], fps[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
-    links_a, links_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = starts[(sizes > 1) & (sizes <= SMALL)]
-    small_n = sizes[(sizes > 1) & (sizes <= SMALL)]
-    for n in np.unique(small_n).tolist():
-        i, j = np.triu_indices(n, 1)
-        at = small[small_n == n]
-        step = max(1, STATES // len(i))
-        for k in range(0, len(at), step):
-            a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-            near = np.bitwise_count(fps[a] ^ fps[b]) <= bits
-            links_a.append(a[near])
-            links_b.append(b[near])
-    for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = search(fps[at : at + n], bits)
-        links_a.append(a + at)
-        links_b.append(b + at)
-    label = classes(len(fps), np.concatenate(links_a), np.concatenate(links_b))
+    shared = np.repeat(sizes > 1, sizes)
+    fps, sizes = fps[shared], sizes[sizes > 1]
+    if not len(fps):
+        return fps, fps
+    label = classes(len(fps), *search(fps, sizes, bits))
     member = np.flatnonzero(label != np.arange(len(fps)))
     return fps[member], fps[label[member]]
 
@@ -245,12 +253,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, large: int = LARGE) -> Da
     other columns are ignored.
     """
     own = stash(fingerprints(docs))
-    unique = stash(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    unique = stash(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     stars = components(links(unique.select("fp"), bits, large))
     linked = stars.select(F.col("v").alias("fp"), "root").union(stars.select(F.col("root").alias("fp"), "root").distinct())
     roots = linked.join(unique, "fp").groupBy("root").agg(F.min("first").alias("smallest"))
-    of_fp = unique.join(linked, "fp", "left").join(roots, "root", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = stash(unique.join(linked, "fp", "left").join(roots, "root", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), "n"))
+    hot = F.broadcast(of_fp.filter(F.col("n") * HOT > own.count()).drop("n"))  # fewer than HOT rows
+    rest = own.join(hot.select("fp"), "fp", "left_anti").join(of_fp.drop("n"), "fp")
+    return own.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, bits: int = BITS) -> DataFrame:

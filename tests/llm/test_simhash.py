@@ -48,12 +48,35 @@ def near_family(r, n, centre, flips):
     return sorted(out)
 
 
-def test_the_tree_finds_the_pairs_that_brute_force_finds():
+def near_pairs(fps):
+    return {(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2}
+
+
+def test_the_forest_finds_the_pairs_that_brute_force_finds(monkeypatch):
+    """Runs of one to some hundred members, in one forest, also with few states held at once."""
     r = random.Random(2)
-    fps = near_family(r, 300, r.getrandbits(64), 3) + [r.getrandbits(64) for _ in range(200)]
-    a, b = simhash.search(np.array(fps, np.uint64))
-    want = {(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2}
-    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+    runs = [near_family(r, 300, r.getrandbits(64), 3) + [r.getrandbits(64) for _ in range(200)]]
+    runs += [near_family(r, n, r.getrandbits(64), 2) for n in (1, 2, 3, 7, 8, 9, 48, 49, 64, 65)] + [[0, (1 << 64) - 1], [r.getrandbits(64)]]
+    r.shuffle(runs)
+    fps = [np.array(x, np.uint64)[np.argsort(simhash.gray_rank(np.array(x, np.uint64)))] for x in runs]
+    want, at = set(), 0
+    for x in fps:
+        want |= {(at + i, at + j) for i, j in near_pairs(x.tolist())}
+        at += len(x)
+    for states in (simhash.STATES, 100):
+        monkeypatch.setattr(simhash, "STATES", states)
+        a, b = simhash.search(np.concatenate(fps), np.array([len(x) for x in fps]))
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_every_level_factors_what_its_leaves_share():
+    r = random.Random(4)
+    fps = np.array(near_family(r, 100, r.getrandbits(64), 3), np.uint64)
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    top = simhash.forest(fps, np.array([60, 40]))[0]
+    for k, own in enumerate((fps[:60], fps[60:])):
+        ones, zeros = np.bitwise_and.reduce(own), np.bitwise_and.reduce(~own)
+        assert (top.pattern[k], top.agreed[k], top.last[k]) == (ones, ones | zeros, (59, 99)[k])
 
 
 def test_gray_rank_inverts_the_gray_code():
