@@ -6,9 +6,11 @@ windows, and per hash the exact windows with their items.  A worker turns a text
 into word numbers (0: no benchmark word), looks the rolling hashes of its
 windows up by binary search, and verifies every hit number by number.
 
-The benchmark is read to the driver in parts of at most ``part_words`` words, so
-what is broadcast is bounded however large the benchmark is; a benchmark of
-several parts costs a pass over the documents for each, joined by row number.
+The benchmark is read to the driver in parts of ``part_words`` words (and one
+item more at most).  One part is broadcast and scanned at a time: the rows with
+their hits are written before the next part's pass, so what a worker holds is
+bounded however large the benchmark is, and each further part costs one more
+pass over the documents.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.llm.common import stash
+
 WINDOW = 10
 #: Words of the benchmark broadcast at once: about 150 bytes each, 300 MB at most.
 PART_WORDS = 2_000_000
@@ -146,12 +150,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index("text")
-    parts = [sc.broadcast(WindowIndex(p, window)) for p in _parts(benchmark, part_words)]
-    out = docs.mapInArrow(_scan(parts[0], at), _struct(docs))
-    for more in parts[1:]:
-        # another pass over the rows just made: spans and items add up
-        first = out.withColumnsRenamed({"__n_words": "__n0", "__spans": "__s0", "__items": "__i0"})
-        out = first.mapInArrow(_scan(more, at), _struct(first)).withColumns({"__spans": F.concat("__s0", "__spans"), "__items": F.array_distinct(F.concat("__i0", "__items"))}).drop("__n0", "__s0", "__i0")
+    parts = _parts(benchmark, part_words)
+    out = docs.mapInArrow(_scan(sc.broadcast(WindowIndex(next(parts), window)), at), _struct(docs))
+    for part in parts:
+        # the rows so far are written first, so that no task holds two parts; spans and items add up
+        first = stash(out.withColumnsRenamed({"__n_words": "__n0", "__spans": "__s0", "__items": "__i0"}))
+        scanned = first.mapInArrow(_scan(sc.broadcast(WindowIndex(part, window)), at), _struct(first))
+        out = scanned.withColumns({"__spans": F.concat("__s0", "__spans"), "__items": F.array_distinct(F.concat("__i0", "__items"))}).drop("__n0", "__s0", "__i0")
     return out
 
 
