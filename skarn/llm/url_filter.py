@@ -7,25 +7,28 @@ every path prefix whose length the list has.  All candidates of a batch are
 digested, probed by one vectorised binary search, and every digest that is found
 is confirmed against the stored string, so a collision never decides.
 
-The list is a broadcast of checked size; each worker process maps it from an
-unlinked file of its own, which it can rebuild at any time.
+The list is a file of checked size in the shared scratch folder.  Spark fetches
+it once for each executor, whose workers all map that one copy; a new executor
+fetches it again.
 """
 
 from __future__ import annotations
 
 import mmap
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries one broadcast list may have (about 60 bytes each: 300 MB).
+from skarn.llm.common import open_shared, scratch_path
+
+#: Entries one list may have (about 60 bytes each: 300 MB).
 MAX_ENTRIES = 5_000_000
 BLOCK, ALLOW = 0, 1
 VERDICTS = ("block", "allow")
@@ -56,10 +59,8 @@ def build(entries: Iterable[tuple[str, str, str]]) -> bytes:
 class DigestArray:
     """A digest file, mapped."""
 
-    def __init__(self, data: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         n, size, _, _ = struct.unpack_from("<4Q", self.map)
         at = 32
@@ -69,7 +70,8 @@ class DigestArray:
         self.verdicts = np.frombuffer(self.map, "u1", n, at := at + 4 * n)
         self.strings = at + n
         assert self.strings + size == len(self.map)
-        self.path_lengths = sorted({int(self.ends[i + 1] - self.ends[i]) - int(self.hosts[i]) for i in range(n)})
+        self.path_lengths = np.unique(np.diff(self.ends).astype(np.int64) - self.hosts).tolist()
+        self.longest_host = int(self.hosts.max(initial=0))
 
     def string(self, i: int) -> bytes:
         return self.map[self.strings + int(self.ends[i]) : self.strings + int(self.ends[i + 1])]
@@ -95,6 +97,9 @@ class DigestArray:
         strings, owner, host_len = [], [], []
         for k, (host, path) in enumerate(urls):
             h, p = host.encode(), path.encode()
+            if len(h) > self.longest_host:  # parents that no entry is long enough for are never cut
+                at = h.find(b".", len(h) - self.longest_host - 1)
+                h = h[at + 1 :] if at >= 0 else b""
             while h:
                 for n in self.path_lengths:
                     if n <= len(p):
@@ -113,8 +118,28 @@ class DigestArray:
 
 
 @lru_cache(4)
-def _mapped(data: bytes) -> DigestArray:
-    return DigestArray(data)
+def _mapped(name: str) -> DigestArray:
+    return DigestArray(SparkFiles.get(name))
+
+
+def publish(spark: SparkSession, data: bytes) -> str:
+    """Write a digest file to the shared folder and have every executor fetch it; returns its name there."""
+    path = f"{scratch_path(spark)}.urls"
+    store, name = open_shared(path)
+    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(name) as f:
+        f.write(data)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
+def entries_of(rows: DataFrame) -> Iterator[tuple[str, str, str]]:
+    """Entries of a table (verdict, host, path); one that is larger than a list may be is an error and never cut."""
+    n = rows.count()
+    if n > MAX_ENTRIES:
+        raise ValueError(f"{n} entries; one list holds {MAX_ENTRIES}. Split it and apply the parts in turn.")
+    clean = rows.select("verdict", F.coalesce(F.col("host"), F.lit("")), F.coalesce(F.col("path"), F.lit("")))
+    return (tuple(r) for r in clean.toLocalIterator())
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -127,30 +152,31 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[: min(ends, default=len(tail))]
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, listed: Iterable[tuple[str, str, str]] = LISTED, id_column: str = "page_id") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, listed: Iterable[tuple[str, str, str]] | DataFrame = LISTED, id_column: str = "page_id") -> DataFrame:
     """Judge every row of ``pages`` (``id_column``, url).
 
     Returns the id, host, path, rule (host and path of the longest rule that
     fits, else null) and verdict: that rule's; without one, block if ``listed``
     has an entry for the URL's host or a parent domain and a prefix of its path,
-    else allow.
+    else allow.  ``listed`` may be a table (verdict, host, path), such as a block
+    list read from files.
 
     Null and malformed URLs have an empty host and path, no rule, and are
     allowed.  Repeated rows are judged each for itself; an empty table gives no
     rows; other columns are ignored.
     """
-    sc = pages.sparkSession.sparkContext
-    files = sc.broadcast((build(rules), build(listed)))
+    spark = pages.sparkSession
+    names = [publish(spark, build(x)) for x in (rules, entries_of(listed) if isinstance(listed, DataFrame) else listed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rule, by_list = map(_mapped, files.value)
+        by_rule, by_list = map(_mapped, names)
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             rule = by_rule.match(parts)
             own = by_list.match(parts)
-            names = [by_rule.string(i).decode() if i >= 0 else None for i in rule]
+            found = [by_rule.string(i).decode() if i >= 0 else None for i in rule]
             verdicts = [VERDICTS[by_rule.verdicts[i]] if i >= 0 else VERDICTS[by_list.verdicts[j]] if j >= 0 else "allow" for i, j in zip(rule, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], names, verdicts))], names=[id_column, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in ([h for h, _ in parts], [p for _, p in parts], found, verdicts))], names=[id_column, "host", "path", "rule", "verdict"])
 
     kind = pages.schema[id_column].dataType.simpleString()
     return pages.select(id_column, F.col("url").cast("string").alias("url")).mapInArrow(run, f"{id_column} {kind}, host string, path string, rule string, verdict string")

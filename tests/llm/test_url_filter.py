@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from skarn.llm import url_filter as u
@@ -37,8 +38,25 @@ def test_urls_are_judged_as_by_brute_force(spark):
     assert u.filter_urls(pages, [], []).filter("verdict <> 'allow'").count() == 0
 
 
-def test_equal_digests_are_told_apart_by_their_strings(monkeypatch):
+def mapped(tmp_path, entries):
+    (tmp_path / "list").write_bytes(u.build(entries))
+    return u.DigestArray(str(tmp_path / "list"))
+
+
+def test_a_large_list_from_a_table_and_a_host_of_many_labels(spark, monkeypatch):
+    listed = spark.range(1_000_000).selectExpr("'block' AS verdict", "concat('h', id, '.list.test') AS host", "if(id % 2 = 0, '/x', '') AS path")
+    long = "http://" + "a." * 200_000
+    urls = ["http://h7.list.test/", "http://a.h8.list.test/x/y", "http://h8.list.test/y", "http://h1000000.list.test/", long + "h9.list.test/", long + "other.test/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in u.filter_urls(pages, listed=listed).collect()}
+    assert [got[i] for i in range(7)] == ["block", "block", "allow", "allow", "block", "allow", "allow"]
+    monkeypatch.setattr(u, "MAX_ENTRIES", 10)
+    with pytest.raises(ValueError, match="1000000 entries"):
+        u.filter_urls(pages, listed=listed)
+
+
+def test_equal_digests_are_told_apart_by_their_strings(monkeypatch, tmp_path):
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s, *a: len(s) % 3)
     entries = [("block", f"h{i}", "/") for i in range(20)] + [("allow", "longer", "/p")]
-    array = u.DigestArray(u.build(entries))
+    array = mapped(tmp_path, entries)
     assert [array.string(i).decode() if i >= 0 else None for i in array.match([("h3", "/"), ("h99", "/"), ("x.longer", "/path"), ("h19", "/z")])] == ["h3/", None, "longer/p", "h19/"]
