@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm import decontaminate, near_copies, packing, pii, quality_rules, simhash
-from skarn.llm.common import stash, table
+from skarn.llm.common import drop_since, mark, stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,7 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each over all that its predecessor kept.
+
+    Null and empty texts are rejected by the first stage, which asks for fifty
+    words; of repeated rows the second keeps one; null ids pass every stage and
+    stay null; an empty table gives no rows; columns beside doc_id and text are
+    carried along up to the last stage, whatever their names.  What a stage
+    stashed is deleted once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
+        point = mark()
         docs = stash(stage(spark, docs, sf_dir))
+        drop_since(spark, point, [docs])
     return STAGES[-1][1](spark, docs, sf_dir)
