@@ -16,9 +16,13 @@ They are in every text that has them, with or without the entity.
 
 Plan: one pass finds the entities of every row; a narrow table keeps them.  Only
 an entity of ``SUPPORT`` different texts can have a term with as many, so only
-its texts, each once, give (entity, term) pairs.  A second pass counts terms,
-aggregated before the shuffle.  Pairs meet term counts in a join on the term.  A
-third pass finds the texts of the terms that disclose.
+its texts, each once, give (entity, term) pairs.  Entities of the very same texts
+have the same counts with every term, so one of them stands for all: a page of
+two thousand addresses gives a pair for each of its terms, not two thousand.  A
+second pass counts terms, aggregated before the shuffle.  Pairs meet term counts
+in a join on the term.  A third pass finds the texts of the terms that disclose.
+A text is known by its SHA-256.  Joins of rows with their text's terms are salted
+by the rows' partition, so copies of one text don't meet in a task.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from skarn.llm.common import stash
 
 GENERALISE, REMOVE, SUPPORT = 0.9, 0.98, 3
+#: Parts that the copies of a text are dealt into, and matches whose places are found in one go.
+SALTS, BLOCK = 32, 512
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the method adds, by what is done to them.
 TERM_KINDS = ("generalised", "removed")
@@ -74,6 +80,11 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def find_spans(text: Column, pattern: Column, kind: str) -> Column:
     """array<struct<kind, start, end, value>> of the pattern's matches, in code points, end exclusive.
 
@@ -81,15 +92,26 @@ def find_spans(text: Column, pattern: Column, kind: str) -> Column:
     give the places.
     """
     values, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind: string, start: int, end: int, value: string>>").alias("out"))
+    spans = "array<struct<kind: string, start: int, end: int, value: string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
         first = acc["at"] + F.char_length(v["gap"])
         end = first + F.char_length(v["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), first.alias("start"), end.alias("end"), v["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def blocks(acc: Column, block: Column) -> Column:
+        begun = F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("out"))
+        return _let(F.aggregate(block, begun, step), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def places(pairs: Column) -> Column:
+        # an array grows by one copy a step: in blocks, so that many matches cost BLOCK / 2 each and not half their number
+        n = F.size(pairs)
+        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+        many = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out")), blocks, lambda acc: F.flatten(acc["out"]))
+        return F.when(n > BLOCK, many).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+
+    return _let(F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), places)
 
 
 def base_spans(text: Column) -> Column:
@@ -130,14 +152,26 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _key(text: Column) -> Column:
+    """What stands for a text in joins."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def _salted_left_join(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` left join ``found`` (one row a text) on __key; a text's copies are dealt round by their partition."""
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    wide = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(wide, ["__key", "__salt"], "left").drop("__salt")
+
+
 def _with_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__text": _text(), "__spans": base_spans(_text())})
 
 
 def evidence(docs: DataFrame, *keep: str) -> DataFrame:
-    """A written narrow table: columns ``keep``, __key (xxhash64 of the text), __places and the row's __entities."""
+    """A written narrow table: columns ``keep``, __key (of the text), __places and the row's __entities."""
     found = _with_spans(docs.select("text", *keep))
-    return stash(found.select(*keep, F.xxhash64("__text").alias("__key"), _places(F.col("__spans")).alias("__places"), F.array_distinct(F.transform("__spans", _entity)).alias("__entities")))
+    return stash(found.select(*keep, _key(F.col("__text")).alias("__key"), _places(F.col("__spans")).alias("__places"), F.array_distinct(F.transform("__spans", _entity)).alias("__entities")))
 
 
 def _places(spans: Column) -> Column:
@@ -147,13 +181,15 @@ def _places(spans: Column) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """__key, term, share: the terms of each text, with or without the entity, that disclose one.  ``found``: the evidence of ``docs``."""
     own = found.select("__key", F.explode("__entities").alias("entity")).groupBy("__key", "entity").agg(F.count("*").alias("n"))
-    # copies of one text are one piece of evidence
-    n_entity = stash(own.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts"))
+    # copies of one text are one piece of evidence; entities of the same texts, told by two sums over their keys, are one class
+    marks = [F.bit_xor(F.xxhash64("__key", "n")).alias("x"), F.sum(F.xxhash64(F.lit("s"), "__key").cast("decimal(38,0)")).alias("y")]
+    each = own.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"), *marks).filter(F.col("texts") >= support)
+    n_entity = stash(each.groupBy("x", "y", "n_entity", "texts").agg(F.min("entity").alias("entity")).select("entity", "n_entity"))
     held = stash(own.join(n_entity.select("entity"), "entity", "left_semi"))
-    once = docs.select(F.xxhash64(_text()).alias("__key"), "text").join(held.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
+    once = docs.select(_key(_text()).alias("__key"), "text").join(held.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
     terms = stash(_with_spans(once).select("__key", F.explode(_bare_terms(F.col("__text"), F.col("__spans"))).alias("term")))
     both = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    words = docs.select(F.xxhash64(_text()).alias("__key"), F.explode(_words(_text(), WORD)).alias("term"))
+    words = docs.select(_key(_text()).alias("__key"), F.explode(_words(_text(), WORD)).alias("term"))
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(max(1, docs.count())))
     share = F.log(total * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(total / F.col("n_entity"))
@@ -163,20 +199,19 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """``docs`` (of texts with ``terms``) with __more: spans of disclosing terms, by kind then start."""
-
-    def alternatives(cond: Column) -> Column:
-        return F.array_join(F.sort_array(F.collect_list(F.when(cond, F.col("term")))), "|")
+    """__key and __more of ``docs`` (different texts with spans): the places of their disclosing terms, by kind then start.
 
-    by_key = terms.groupBy("__key").agg(alternatives(F.col("share") < remove).alias("__low"), alternatives(F.col("share") >= remove).alias("__high"))
-    none = F.array().cast("array<struct<kind: string, start: int, end: int, value: string>>")
-    parts = []
-    for kind, name in zip(TERM_KINDS, ("__low", "__high"), strict=True):
-        pattern = F.concat(F.lit("(?iu)(?<!\\p{L})(?:"), F.col(name), F.lit(")(?!\\p{L})"))
-        found = find_spans(F.col("__text"), pattern, kind)
-        outside = F.filter(found, lambda s: ~F.exists("__spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        parts.append(F.when(F.col(name) != "", outside).otherwise(none))
-    return docs.join(by_key, "__key").withColumn("__more", F.concat(*parts)).drop("__low", "__high")
+    A text's words and their places are rows of their own, joined with its terms,
+    so the cost is the words', however many terms a text has.
+    """
+    words = docs.select("__key", "__spans", F.explode(find_spans(F.col("__text"), F.lit(WORD), "word")).alias("w"))
+    met = words.withColumn("term", F.lower("w.value")).join(terms, ["__key", "term"])
+    free = met.filter(~F.exists("__spans", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"])))
+    order = F.when(F.col("share") < remove, 0).otherwise(1)
+    place = F.struct(order.alias("order"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    kind = F.array(*map(F.lit, TERM_KINDS))
+    by_key = free.groupBy("__key").agg(F.array_sort(F.collect_list(place)).alias("p"))
+    return by_key.select("__key", F.transform("p", lambda s: F.struct(F.get(kind, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__more"))
 
 
 def _joined(spans: Column) -> Column:
@@ -185,9 +220,9 @@ def _joined(spans: Column) -> Column:
 
 def _more(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """__key and __more for every different text that has disclosing terms."""
-    held = docs.select("text", F.xxhash64(_text()).alias("__key")).join(terms.select("__key").distinct(), "__key", "left_semi")
+    held = docs.select("text", _key(_text()).alias("__key")).join(terms.select("__key").distinct(), "__key", "left_semi")
     once = held.groupBy("__key").agg(F.first("text").alias("text"))  # one row of each text leaves a partition, however many copies it holds
-    return term_spans(_with_spans(once), terms).select("__key", "__more")
+    return term_spans(_with_spans(once), terms)
 
 
 def privacy_report(docs: DataFrame) -> DataFrame:
@@ -200,7 +235,7 @@ def privacy_report(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text")
     found = evidence(own, "doc_id")
     more = _more(own, stash(disclosing_terms(own, found)))
-    full = found.select("doc_id", "__key", F.col("__places").alias("spans")).join(more.select("__key", _places(F.col("__more")).alias("more")), "__key", "left")
+    full = _salted_left_join(found.select("doc_id", "__key", F.col("__places").alias("spans")), more.withColumnRenamed("__more", "more"))
     base = F.col("spans")
     counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return full.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.when(F.col("more").isNotNull(), F.concat(base, "more")).otherwise(base)).alias("spans"))
@@ -226,8 +261,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     n_chars, where there is such a column, follows the text.
     """
     more = stash(_more(docs, stash(disclosing_terms(docs, evidence(docs)))))
-    full = _with_spans(docs.withColumn("__key", F.xxhash64(_text()))).join(more, "__key", "left")
-    spans = F.when(F.col("__more").isNotNull(), F.concat("__spans", "__more")).otherwise(F.col("__spans"))
+    full = _salted_left_join(_with_spans(docs.withColumn("__key", _key(_text()))), more)
+    spans = F.when(F.col("__more").isNotNull(), F.concat(_places(F.col("__spans")), "__more")).otherwise(_places(F.col("__spans")))
     out = full.withColumn("__all", spans)
     masked = F.when(F.size("__all") > 0, _mask(F.col("__text"), F.col("__all"))).otherwise(F.col("text"))
     out = out.withColumn("__new", masked)

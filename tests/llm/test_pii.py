@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -112,3 +114,60 @@ def test_terms_on_other_lines_and_short_names_disclose(spark):
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert all(out[i] == f" \nfirst street{i}\n\nplain words\n[EMAIL]" for i in range(5))
     assert all(out[i] == t for i, t in rows if i >= 100)
+
+
+def test_many_matches_are_placed_as_by_the_plain_pattern(spark):
+    text = "é " + " , ".join(f"u{i}@x{i}.org" for i in range(1500)) + " 1.2.3.4"
+    got = pii.privacy_report(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).collect()
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(text))
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: want, 2: want, 3: ""}
+
+
+def plain_disclosure(rows):
+    """Terms that disclose an entity, by sets of texts."""
+    n, entities, terms, weight = len(rows), {}, {}, {}
+    for _, text in rows:
+        weight[text] = weight.get(text, 0) + 1
+    for text in weight:
+        bare, at = "", 0
+        for kind, a, b in sorted(brute(text), key=lambda s: s[1]):
+            entities.setdefault((kind, text[a:b].lower()), set()).add(text)
+            bare, at = bare + text[at:a] + " ", b
+        bare += text[at:]
+        found = {w.lower() for w in re.findall(r"[^\W\d_]+", bare) if len(w) >= 3 or (len(w) == 2 and w[0].isupper())}
+        for w in {x.lower() for x in re.findall(r"[^\W\d_]+", text)}:
+            terms.setdefault(w, [set(), set()])[1].add(text)
+        for w in found:
+            terms[w][0].add(text)
+    total = lambda texts: sum(weight[t] for t in texts)
+    out = set()
+    for own in entities.values():
+        for w, (candidate, everywhere) in terms.items():
+            both = own & candidate
+            if len(both) >= pii.SUPPORT and len(own) >= pii.SUPPORT:
+                n_e, n_t, n_b = total(own), max(total(everywhere), total(both)), total(both)
+                if n_e < n and math.log(n * n_b / (n_e * n_t)) / math.log(n / n_e) >= pii.GENERALISE:
+                    out.add(w)
+    return out
+
+
+def test_disclosing_terms_match_plain_sets(spark):
+    r = random.Random(8)
+    people = [(f"Name{chr(97 + i)}", f"p{i % 7}@mail.org", f"10.0.0.{i}") for i in range(12)]
+    rows = []
+    for i in range(400):
+        name, mail, ip = r.choice(people)
+        words = " ".join(r.choice(["plain", "words", "here", "Ab", "of", "rare" + chr(97 + r.randrange(20))]) for _ in range(8))
+        rows.append((i, f"{words} {r.choice([name, name, ''])} {r.choice([mail, mail + ' ' + ip, ''])} {r.choice(['x', 'yy'])}"))
+    rows += [(1000 + i, rows[i % 5][1]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["term"] for r in pii.disclosing_terms(docs, pii.evidence(docs)).select("term").distinct().collect()}
+    assert got == plain_disclosure(rows) and got
+
+
+def test_a_page_of_two_thousand_addresses_gives_no_square(spark):
+    page = " ".join(f"user{i}@host{i}.org term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000))
+    docs = spark.createDataFrame([(i, page + f" copy{'abc'[i]}") for i in range(3)] + [(10 + i, f"other text {i}") for i in range(50)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.privacy_report(docs).collect()}
+    assert got[0]["n_email"] == 2000 and got[0]["spans"].count("removed") > 1900 and time.perf_counter() - began < 60
