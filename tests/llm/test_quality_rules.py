@@ -53,6 +53,14 @@ def test_cheap_rules_that_reject_much_come_first(spark):
     assert [r.name for r in order] == ["many", "one", "none", "some"]
 
 
+def test_a_rules_cost_is_what_it_adds_to_an_empty_job(spark):
+    docs = spark.createDataFrame([(i, "a" * (i % 10)) for i in range(100)], "doc_id long, text string")
+    cheap, dear = q.Rule("cheap", lambda m: m["word_chars"] > 7), q.Rule("dear", lambda m: m["word_chars"] > 4)
+    # a first job, an empty one (100), cheap (101, so it costs 1), dear (110, so it costs 10): by whole times dear would come first
+    ticks = iter([0, 500, 0, 100, 0, 101, 0, 110])
+    assert [r.name for r in q.plan_order(docs, [cheap, dear], clock=lambda: next(ticks))] == ["cheap", "dear"]
+
+
 def test_columns_and_clean_rows_come_back_as_they_were(docs):
     clean = docs.limit(0).unionByName(docs.filter("doc_id = 5").selectExpr("doc_id", "'" + " ".join(f"word{i}x" for i in range(99)) + "' AS text", "lang", "source", "n_chars", "shard", "size", "fingerprint"))
     assert q.filter_quality(clean).collect() == clean.collect()
