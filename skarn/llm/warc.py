@@ -7,31 +7,39 @@ end-of-central-directory record, its ZIP64 form where sizes or counts overflow,
 and the central directory; it finds where stored members begin, reads the index
 by range, and reads each record by its own range.  Nothing is extracted.
 
-Packages travel as rows (name, content) of a table, written by Spark's own
-committers, so a lost executor or a repeated task leaves no half package; files
-are read in place by ``read_package_files``.
+Packages are files in the shared scratch folder, streamed out record by record
+under names that no other attempt of a task takes.  Their list is a table that
+Spark's own committers write, so a lost executor or a repeated task leaves no
+half package in it; a file outside the list is never read.  Each package is then
+read where it lies, by ranges.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import stash
+from skarn.llm.common import open_shared, scratch_path, stash
 
-#: Payload bytes after which a package is closed, and the least payload that is worth a revisit record.
-PACKAGE_BYTES, REVISIT_BYTES = 8 << 20, 100
+#: Record bytes after which a package is closed, and the least payload that is worth a revisit record.
+PACKAGE_BYTES, REVISIT_BYTES = 64 << 20, 100
+#: Parts that the copies of a payload are dealt into.
+SALTS = 32
+#: Tasks that read packages; with more packages each reads several.
+MOST_TASKS = 10_000
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: read(offset, length) -> bytes
 Reader = Callable[[int, int], bytes]
@@ -46,12 +54,11 @@ def _safe(value: str) -> str:
     return json.dumps(value)[1:-1]  # no line ends inside a header
 
 
-def page_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """A response record, or a revisit record without payload if ``refers_to`` names another page."""
+def page_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+    """A response record, or a revisit record without payload if ``refers_to`` names another page.  A page without an id gets a random one."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Target-URI", _safe(url or "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
-    if page_id is not None:
-        headers.append(("WARC-Record-ID", f"<urn:page:{_safe(page_id)}>"))
+    own = f"<urn:page:{_safe(page_id)}>" if page_id is not None else f"<{uuid.uuid4().urn}>"
+    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", _safe(url or "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is None:
         return record(headers, http + payload)
     headers += [("WARC-Refers-To", f"<urn:page:{_safe(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -59,23 +66,31 @@ def page_record(page_id: str | None, url: str | None, payload: bytes, digest: st
 
 
 class PackageWriter:
-    def __init__(self) -> None:
-        self.warc, self.index, self.payload = io.BytesIO(), [], 0
+    """A package streamed to ``out``; only its index is held, about 100 bytes a record."""
+
+    def __init__(self, out: BinaryIO) -> None:
+        self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+        self.warc = self.zip.open(self._info(MEMBER), "w", force_zip64=True)
+        self.index, self.size, self.bytes = [], 0, 0
+
+    @staticmethod
+    def _info(name: str) -> zipfile.ZipInfo:
+        return zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
 
     def add(self, url: str | None, data: bytes) -> None:
         packed = gzip.compress(data, 1, mtime=0)
-        self.index.append(json.dumps({"url": url or "", "offset": self.warc.tell(), "length": len(packed)}))
+        self.index.append(json.dumps({"url": url or "", "offset": self.size, "length": len(packed)}))
         self.warc.write(packed)
-        self.payload += len(data)
+        self.size += len(packed)
+        self.bytes += len(data)
 
-    def close(self) -> bytes:
-        out = io.BytesIO()
+    def close(self) -> None:
+        self.warc.close()
         index = "".join(f"{line}\n" for line in self.index).encode()
-        package = json.dumps({"profile": "data-package", "resources": [{"path": MEMBER, "bytes": self.warc.tell()}, {"path": INDEX, "bytes": len(index)}]}).encode()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for name, data in ((MEMBER, self.warc.getvalue()), (INDEX, index), ("datapackage.json", package)):
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
-        return out.getvalue()
+        package = json.dumps({"profile": "data-package", "resources": [{"path": MEMBER, "bytes": self.size}, {"path": INDEX, "bytes": len(index)}]}).encode()
+        self.zip.writestr(self._info(INDEX), index)
+        self.zip.writestr(self._info("datapackage.json"), package)
+        self.zip.close()
 
 
 def central_directory(read: Reader, size: int) -> dict[str, tuple[int, int, int]]:
@@ -152,7 +167,7 @@ def read_records(read: Reader, size: int) -> Iterator[tuple[dict[str, str], byte
 
 
 def _page(urn: str | None) -> str | None:
-    return None if urn is None else json.loads(f'"{urn[len("<urn:page:") : -1]}"')
+    return None if urn is None or not urn.startswith("<urn:page:") else json.loads(f'"{urn[len("<urn:page:") : -1]}"')
 
 
 def page_row(headers: dict[str, str], block: bytes) -> tuple[str | None, str, int, str, str, str | None]:
@@ -185,69 +200,74 @@ def _read(readers: Iterator[tuple[Reader, int]]) -> Iterator[pa.RecordBatch]:
             yield _rows(found)
 
 
-def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Packages (name, content) with a record for every row of ``pages`` (page_id, url, html).
+def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, date: str | None = None) -> DataFrame:
+    """Write packages with a record for every row of ``pages`` (page_id, url, html) to ``folder``; returns path and records of each.
 
     Of rows with equal payloads of at least 100 bytes the one with the smallest
     page_id is a response and the others revisit it; smaller payloads are all
     responses.  A null html is an empty payload, a null url an empty one.  Rows
     that share the smallest page_id too are all responses; a null page_id never
-    is the smallest unless all are null, and then all are responses.
+    is the smallest unless all are null, and then all are responses.  Every
+    record is dated ``date``, the time of the call if none is given.
+
+    The files are written when the rows are; write those at once (``stash``).
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = own.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    rows = own.join(firsts, "digest", "left").select(F.col("page_id").cast("string").alias("page"), "url", "payload", "digest", F.when(later, F.col("first").cast("string")).alias("refers_to"))
+    # copies of a payload are dealt round by the partition that they come from, so that no task gets all of them
+    wide = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = own.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(wide, ["digest", "salt"], "left")
+    rows = met.select(F.col("page_id").cast("string").alias("page"), "url", "payload", "digest", F.when(later, F.col("first").cast("string")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, writer = TaskContext.get().partitionId(), 0, PackageWriter()
+        store, base = open_shared(folder)
+        store.create_dir(base, recursive=True)
+        writer = out = None
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{n:04d}.wacz"]), pa.array([writer.close()], pa.binary())], names=["name", "content"])
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(writer.index)], pa.int64())], names=["path", "records"])
 
         for batch in batches:
             for page, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                writer.add(url, page_record(page, url, payload, digest, refers_to))
-                if writer.payload >= package_bytes:
+                if writer is None:
+                    name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.wacz"
+                    out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
+                    writer = PackageWriter(out)
+                writer.add(url, page_record(page, url, payload, digest, refers_to, date))
+                if writer.bytes >= package_bytes:
                     yield close()
-                    n, writer = n + 1, PackageWriter()
-        if writer.index:
+                    writer = None
+        if writer is not None:
             yield close()
 
-    return rows.mapInArrow(run, "name string, content binary")
+    return rows.mapInArrow(run, "path string, records long")
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
-    """A row per record of packages (content): page, url, payload_bytes, payload_digest, record_type, refers_to."""
+def read_packages(packages: DataFrame, tasks: int) -> DataFrame:
+    """A row per record of the package files ``path``: page, url, payload_bytes, payload_digest, record_type, refers_to; by range reads where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views = (memoryview(c.as_buffer()) for batch in batches for c in batch.column(0))
-        yield from _read(((lambda at, n, v=v: bytes(v[at : at + n])), len(v)) for v in views)
-
-    return packages.select("content").mapInArrow(run, _ROW)
-
-
-def read_package_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same from package files, a path or URI each, by range reads of the file where it lies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         def readers() -> Iterator[tuple[Reader, int]]:
             for batch in batches:
                 for path in batch.column(0).to_pylist():
-                    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                    store, name = open_shared(path)
                     with store.open_input_file(name) as f:
                         yield (lambda at, n, f=f: f.read_at(n, at)), f.size()
 
         yield from _read(readers())
 
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, _ROW)
+    return packages.select("path").repartition(max(1, tasks)).mapInArrow(run, _ROW)
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write ``pages`` to packages in the scratch folder and read every record back: one row per page."""
+    spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType
-    found = read_packages(stash(write_packages(pages)))
+    packages = stash(write_packages(pages, f"{scratch_path(spark)}.packages", package_bytes))
+    found = read_packages(packages, min(packages.count(), MOST_TASKS))
     return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")

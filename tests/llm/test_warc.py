@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -25,16 +27,34 @@ def test_pages_come_back_from_the_archives(spark):
     assert warc.archive_round_trip(pages(spark).limit(0)).count() == 0
 
 
-def test_files_are_read_in_place(spark, tmp_path):
-    packages = warc.write_packages(pages(spark), package_bytes=2000).collect()
-    assert len(packages) > 1
-    paths = []
+def test_files_are_packages_that_other_readers_open(spark, tmp_path):
+    packages = warc.write_packages(pages(spark), str(tmp_path), package_bytes=2000, date="2026-01-02T03:04:05Z").collect()
+    assert len(packages) > 1 and sum(p["records"] for p in packages) == 9
+    ids = []
     for p in packages:
-        paths.append(str(tmp_path / p["name"]))
-        (tmp_path / p["name"]).write_bytes(p["content"])
-        with zipfile.ZipFile(io.BytesIO(p["content"])) as z:
+        with zipfile.ZipFile(p["path"]) as z:
             assert z.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
-    assert warc.read_package_files(spark, paths).count() == 9
+            lines = [json.loads(x) for x in z.read(warc.INDEX).splitlines()]
+            data = z.read(warc.MEMBER)
+        for x in lines:
+            headers, _ = warc.parse_record(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]))
+            assert headers["warc-date"] == "2026-01-02T03:04:05Z"
+            ids.append(headers["warc-record-id"])
+    assert len(ids) == 9 and sum(i.startswith("<urn:uuid:") for i in ids) == 1
+    (tmp_path / "part-000000-left-by-a-lost-task.wacz").write_bytes(b"half a package")
+    listed = spark.createDataFrame(packages)
+    assert warc.read_packages(listed, 3).count() == 9
+
+
+def test_members_are_read_by_range(tmp_path):
+    with open(tmp_path / "p", "wb") as f:
+        w = warc.PackageWriter(f)
+        for i in range(50):
+            w.add("u", warc.page_record(str(i), "u", b"%d" % i * 5000, hashlib.sha256(b"%d" % i * 5000).hexdigest(), None, "d"))
+        w.close()
+    data, reads = (tmp_path / "p").read_bytes(), []
+    rows = [warc.page_row(*r) for r in warc.read_records(lambda at, n: reads.append(n) or data[at : at + n], len(data))]
+    assert [r[0] for r in rows] == [str(i) for i in range(50)] and len(reads) >= 50 + 4 and max(reads[1:]) < len(data) / 4
 
 
 def build(members, compress=zipfile.ZIP_STORED, comment=b""):
@@ -74,6 +94,6 @@ def test_damage_is_an_error():
         warc.member_at(read, warc.central_directory(read, len(data)), "a")
     with pytest.raises(ValueError, match="not a ZIP"):
         warc.central_directory(lambda at, n: b"\0" * n, 5000)
-    record = warc.page_record("1", "u", b"payload", "0" * 64, None)
+    record = warc.page_record("1", "u", b"payload", "0" * 64, None, "2026-01-01T00:00:00Z")
     with pytest.raises(ValueError, match="digest"):
         warc.page_row(*warc.parse_record(record))
