@@ -6,15 +6,19 @@ non-negative unbiased risk
 
     p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)])
 
-(when the bracket falls below 0, its gradient is reversed).  The prior is the
-share of quality 1 among the labelled training rows.  Features are 40 numbers of
-the whole text (character classes, word and line statistics, repetition); no
-label, id, language or source is among them.
-
-Fitting takes at most ``sample`` positives and as many unlabelled rows, those
-with the smallest hash of their id; both come from one pass over the texts, are
-at most 2 * sample * 41 numbers, and are all that reaches the driver.  Scoring is
-one pass over every whole text with a broadcast of a few kB.
+(when the bracket falls below 0, its gradient is reversed).  The prior comes from
+positives and unlabelled text alone: a first model ranks rows that it was not
+fitted on, and where only positives remain, the share of unlabelled rows above a
+score is the prior times the share of positives there; the smallest such ratio,
+with a margin for the sample's size, is taken.  Negative labels are never used.
+Features are 40 numbers of the whole text (character classes, word and line
+statistics, repetition); no label, id, language or source is among them.
+
+Fitting takes at most ``sample`` positives, those with the smallest hash of their
+id, and about 0.9 * ``sample`` unlabelled ids, those whose hash lies below a
+bound; an id is one row, however often it is there.  Both come from one pass over
+the texts and are all that reaches the driver.  Scoring is one pass over every
+whole text with a broadcast of a few kB.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from skarn.llm.common import remainder
 SAMPLE = 10_000
 THRESHOLD = 0.3
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 16, 600, 0.02, 1e-3, 7
+#: Of the models that rank for the prior, and the chance that its margin is too small.
+RANKER_EPOCHS, CONFIDENCE = 150, 0.1
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"#*$%&|<>", b"@", b"+=_~^\\/", b"{}[]()", b"\"'`:;", b"-"]
 _CLASS = np.full(256, len(_GROUPS))
@@ -103,7 +109,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of two sets of logits, and the step's gradient by each logit."""
+    pos, neg = (1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (positive, unlabelled))
+    bracket = -np.log1p(-neg + 1e-12).mean() + prior * np.log1p(-pos + 1e-12).mean()
+    value = -prior * np.log(pos + 1e-12).mean() + max(0.0, bracket)
+    if bracket >= 0:
+        return value, prior * (pos - 1) / len(pos) - prior * pos / len(pos), neg / len(neg)
+    return value, prior * pos / len(pos), -neg / len(neg)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS) -> Model:
     """Minimise the non-negative risk by Adam over all rows given; the same rows give the same model."""
     rng = np.random.default_rng(SEED)
     both = np.concatenate((positive, unlabelled)).astype(float)
@@ -115,19 +131,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     p = np.arange(len(z)) < len(positive)
     params = [rng.normal(0, 0.3 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)) * 3, np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.array(0.0)]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    for step in range(1, EPOCHS + 1):
+    for step in range(1, epochs + 1):
         w1, b1, w2, b2 = params
         h = np.tanh(z @ w1 + b1)
-        s = 1 / (1 + np.exp(-np.clip(h @ w2 + b2, -30, 30)))
-        pos, neg = s[p], s[~p]
-        bracket = -np.log1p(-neg + 1e-12).mean() + prior * np.log1p(-pos + 1e-12).mean()
-        g = np.empty(len(z))
-        if bracket >= 0:
-            g[p] = prior * (pos - 1) / len(pos) - prior * pos / len(pos)
-            g[~p] = neg / len(neg)
-        else:
-            g[p] = prior * pos / len(pos)
-            g[~p] = -neg / len(neg)
+        logit = h @ w2 + b2
+        _, *g = risk(logit[p], logit[~p], prior)
+        g = np.concatenate(g)
         back = np.outer(g, w2) * (1 - h * h)
         grads = [z.T @ back + DECAY * w1, back.sum(0), h.T @ g + DECAY * w2, g.sum()]
         for i, grad in enumerate(grads):
@@ -137,10 +146,34 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(mean, scale, params[0], params[1], params[2], float(params[3]))
 
 
+def top_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from the scores of both: the ratio where only positives are left."""
+    at = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    margin = sum(np.sqrt(np.log(4 / CONFIDENCE) / (2 * len(x))) for x in (positive, unlabelled))
+    best = np.argmin((above_u + margin) / above_p)  # few positives above a score make its ratio unsure
+    return float(above_u[best] / above_p[best])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior of ``unlabelled``: each half ranked by a model of the other; 0.5 where there is too little to tell."""
+    if min(len(positive), len(unlabelled)) < 8:
+        return 0.5
+    rng = np.random.default_rng(SEED)
+    p, u = (x[rng.permutation(len(x))] for x in (positive, unlabelled))
+    halves = [(p[0::2], u[0::2]), (p[1::2], u[1::2])]
+    found = []
+    for (fit_p, fit_u), (own_p, own_u) in (halves, halves[::-1]):
+        model = fit(fit_p, fit_u, 0.5, RANKER_EPOCHS)
+        found.append(top_ratio(model.logit(own_p), model.logit(own_u)))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [features(t.as_py()).tolist() for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["key", "positive", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = (5, 0)) -> Model:
@@ -148,12 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tu
 
     Labels of rows whose crc32(doc_id) mod held_out[0] is held_out[1] are never
     read.  A doc_id with both labels counts as not positive; null ids and null
-    labels are left out.  Without labels the prior is 0.5.
+    labels are left out.  Of rows with one id that with the smallest features
+    stands for it.  Without positives every text gets 0.5.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id"), held_out[0]) != held_out[1]))
     by_id = usable.groupBy("doc_id").agg(F.min(F.col("quality") > 0).alias("positive"))
-    share, n = by_id.agg(F.avg(F.col("positive").cast("double")), F.count("*")).first()
-    prior = min(0.98, max(0.02, share if n else 0.5))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = by_id.filter("positive").orderBy(order, "doc_id").limit(sample).select("doc_id", F.lit(True).alias("positive"))
     # unlabelled: a share of the ids by their hash, so no row's text is read but those taken
@@ -162,16 +194,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tu
     taken = F.pmod(F.xxhash64(F.concat(F.lit("u"), F.col("doc_id").cast("string"))), F.lit(1 << 32)) < bound
     near = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     joined = near.join(F.broadcast(chosen), "doc_id", "left")  # at most ``sample`` ids
-    kept = joined.select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), "text", taken.alias("taken")).filter(F.col("positive") | F.col("taken"))
+    kept = joined.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("positive", F.lit(False)).alias("positive"), "text", taken.alias("taken")).filter(F.col("positive") | F.col("taken"))
     # a sampled positive is unlabelled text as well where the hash takes it
     flags = F.array(*[F.when(F.col("positive"), F.lit(True)), F.when(F.col("taken"), F.lit(False))])
-    two = kept.select("doc_id", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("positive"), "text")
-    found = two.mapInArrow(_features, "positive boolean, x array<float>").limit(4 * sample + 1000).toArrow()
+    two = kept.select("key", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("positive"), "text")
+    found = two.mapInArrow(_features, "key string, positive boolean, x array<float>").groupBy("key", "positive").agg(F.min("x").alias("x")).select("positive", "x").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, N_FEATURES)
     mask = np.array(found.column("positive").to_pylist(), bool)
     order_ = np.lexsort(x.T)  # rows come in any order; the sums of the fit must not depend on it
     x, mask = x[order_], mask[order_]
-    return fit(x[mask], x[~mask], prior)
+    return fit(x[mask], x[~mask], estimate_prior(x[mask], x[~mask]))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -188,6 +220,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from a score of 0.3 on) for every row of ``docs``."""
+    """doc_id, held_out, score and predicted (1 from a score of 0.3 on) for every row of ``docs``.
+
+    Null texts are scored as empty ones, null ids stay null, repeated rows get
+    the same score each; an empty table gives no rows; other columns are ignored.
+    """
     scored = score_documents(docs, train(docs, labels, sample))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
