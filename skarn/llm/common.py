@@ -33,9 +33,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch_path(spark: SparkSession) -> str:
+def scratch_path(spark: SparkSession, ending: str = "") -> str:
     """A new path in the scratch folder."""
-    path = f"{scratch_dir(spark)}/skarn/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/skarn/{uuid.uuid4().hex}{ending}"
     _made.append(path)
     return path
 

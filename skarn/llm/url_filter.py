@@ -124,7 +124,7 @@ def _mapped(name: str) -> DigestArray:
 
 def publish(spark: SparkSession, data: bytes) -> str:
     """Write a digest file to the shared folder and have every executor fetch it; returns its name there."""
-    path = f"{scratch_path(spark)}.urls"
+    path = scratch_path(spark, ".urls")
     store, name = open_shared(path)
     store.create_dir(name.rsplit("/", 1)[0], recursive=True)
     with store.open_output_stream(name) as f:

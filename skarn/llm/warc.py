@@ -268,6 +268,6 @@ def archive_round_trip(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) ->
     """Write ``pages`` to packages in the scratch folder and read every record back: one row per page."""
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType
-    packages = stash(write_packages(pages, f"{scratch_path(spark)}.packages", package_bytes))
+    packages = stash(write_packages(pages, scratch_path(spark, ".packages"), package_bytes))
     found = read_packages(packages, min(packages.count(), MOST_TASKS))
     return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")
