@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,7 +22,7 @@ CITED_ENDINGS = "ts|tsx|js|jsx|mjs|cjs|py|dart|kt|kts|java|go|rs|md|json|yaml|ym
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript",
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".py": "python", ".pyi": "python", ".go": "go", ".rs": "rust", ".java": "java",
+    ".py": "python", ".pyw": "python", ".go": "go", ".java": "java", ".rs": "rust",
     ".kt": "kotlin", ".kts": "kotlin", ".dart": "dart", ".cs": "csharp", ".csx": "csharp",
 }
 #: Among them this library's own folder of state.
@@ -40,13 +41,28 @@ def half_up(x: Column, digits: int = 4) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """Lower-case runs of letters and digits without diacritics, in order."""
+    return F.regexp_extract_all(F.lower(fold_marks(text)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+
+
+def _marked() -> tuple[str, str]:
+    """Letters that decompose into a Latin letter and marks, and those letters; the marks stand at the end of the first."""
+    found = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    bare = {c: d[0] for c, d in found.items() if len(d) > 1 and d[0].isascii()}
+    return "".join(bare) + "".join(map(chr, range(0x300, 0x370))), "".join(bare.values())
+
+
+MARKED, BARE = _marked()
 
 
 def fold_marks(text: Column) -> Column:
-    """Latin letters without their diacritics, so that accents don't tell words apart."""
-    return F.translate(text, "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ", "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY")
+    """Latin letters without their diacritics, so that accents don't tell words apart; combining marks go."""
+    return F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(text, MARKED, BARE)).otherwise(text)
+
+
+def fold_word(word: str) -> str:
+    """The same of a query's word."""
+    return word.translate({**dict(zip(map(ord, MARKED), BARE)), **dict.fromkeys(range(0x300, 0x370))})
 
 
 def word_set(text: Column, shortest: int = 3) -> Column:
@@ -78,16 +94,20 @@ def slugify(text: Column, longest: int = 50) -> Column:
     return F.when(cut == "", F.lit("nota")).otherwise(cut)
 
 
+#: White space but for the line feed, as the compaction sees it.
+_BLANK = "[\\t\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
 def compact_text(text: Column) -> Column:
-    """Without line-number prefixes, indentation, trailing spaces and repeated blank lines."""
-    out = F.regexp_replace(text, "(?m)^\\s*[0-9]+[|:]\\s?", "")
-    out = F.regexp_replace(out, "(?m)^[ \\t]+|[ \\t]+$", "")
-    return F.regexp_replace(out, "\\n{3,}", "\n\n")
+    """Lines without a leading ``12:`` (or tab), without space around them, no two blank ones in a row, none at the ends."""
+    out = F.regexp_replace(text, f"(?dm)^{_BLANK}*[0-9]+[:\\t]", "")
+    out = F.regexp_replace(out, f"(?dm)^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "^\\n+|\\n+\\z", "")
 
 
 def chunk_text(path: Column, name: Column, kind: Column, body: Column, longest: int = 2000) -> Column:
-    """What is embedded for a symbol."""
-    return F.substring(F.concat(F.concat_ws(" ", path, name, kind), F.lit("\n"), F.coalesce(body, F.lit(""))), 1, longest)
+    """What is embedded for a symbol: its head, and its body on the next line if it has one."""
+    return F.substring(F.concat_ws("\n", F.concat_ws(" ", path, name, kind), F.nullif(body, F.lit(""))), 1, longest)
 
 
 def excerpt(text: Column, longest: int = 240) -> Column:
@@ -126,7 +146,7 @@ def match_reason(query: str, name: Column, path: Column, kind: Column) -> Column
         .when(F.startswith(F.lower(name), F.lit(q)), "name_prefix")
         .when(F.contains(F.lower(name), F.lit(q)), "name_token")
         .when(F.contains(F.lower(path), F.lit(q)), "path_token")
-        .when(F.lower(kind) == q, "kind_token")
+        .when(F.contains(F.lower(kind), F.lit(q)), "kind_token")
         .otherwise("fts_match")
     )
 
@@ -138,7 +158,7 @@ def candidate_score(reason: Column, rank: Column, path: Column) -> Column:
     """Weight of the reason, a little for the text rank (negative is better), less for deep paths."""
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REASON_WEIGHT.items() for x in kv]), reason), F.lit(0.3))
     boost = F.least(F.lit(0.09), F.greatest(F.lit(0.0), -rank / 100.0))
-    depth = F.least(F.lit(0.08), F.lit(0.005) * F.size(F.filter(F.split(path, "/"), lambda p: p != "")))
+    depth = F.least(F.lit(0.08), F.lit(0.005) * F.size(F.split(path, "/")))
     return half_up(F.greatest(F.lit(0.0), weight + boost - depth))
 
 

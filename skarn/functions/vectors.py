@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -38,18 +42,23 @@ def cosine_int8(a: Column, b: Column) -> Column:
     return let(norm, lambda m: F.when(m == 0.0, F.lit(0.0)).otherwise(_dot(a, b) / m))
 
 
+@lru_cache(1_000_000)
+def _bucket(word: str, dim: int) -> int:
+    h = 0x811C9DC5
+    for c in word.encode():
+        h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+    return min(h, (1 << 32) - h) % dim  # of the hash as a signed number's magnitude
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embed(text: pd.Series) -> pd.Series:
-    """A deterministic stand-in for a text encoder: words hashed into 64 signed buckets, unit length."""
+    """A deterministic stand-in for a text encoder: ASCII words and numbers counted in 64 hash buckets, unit length."""
 
     def one(value: str | None) -> np.ndarray:
         out = np.zeros(64, np.float32)
-        for word in (value or "").lower().split():
-            h = 0x811C9DC5
-            for byte in word.encode():
-                h = ((h ^ byte) * 0x01000193) & 0xFFFFFFFF
-            out[h % 64] += 1.0 if h & 0x8000_0000 else -1.0
-        norm = np.linalg.norm(out)
-        return out / norm if norm else out
+        for word, n in Counter(re.findall("[a-z0-9]+", (value or "").lower())).items():
+            out[_bucket(word, 64)] += n
+        norm = np.sqrt((out.astype(float) ** 2).sum())
+        return (out / norm).astype(np.float32) if norm else out
 
     return text.map(one)

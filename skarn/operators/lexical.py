@@ -14,7 +14,7 @@ def query_phrases(query: str) -> list[list[str]]:
     """Phrases that must all match: white-space words, each of one or more tokens."""
     import re
 
-    words = [re.findall(r"[^\W_]+", w.lower()) for w in query.split()]
+    words = [re.findall(r"[^\W_]+", tx.fold_word(w).lower()) for w in query.split()]
     return [w for w in words if w]
 
 
@@ -22,7 +22,7 @@ def query_terms(query: str) -> list[str]:
     """Terms any of which may match."""
     import re
 
-    return list(dict.fromkeys(t for w in re.findall(r"[\w-]+", query.lower()) for t in re.findall(r"[^\W_]+", w)))
+    return list(dict.fromkeys(t for w in re.findall(r"[\w-]+", tx.fold_word(query).lower()) for t in re.findall(r"[^\W_]+", w)))
 
 
 def corpus_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:

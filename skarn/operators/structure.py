@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators.graph import materialise
+
 
 def first_wins(rows: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each key in the given order."""
@@ -14,6 +16,16 @@ def first_wins(rows: DataFrame, keys: Sequence[str], *order: Column | str) -> Da
     return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
+def positions(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with position, from 0 in the order of columns that tell them apart: ranges are counted, then ranked each for itself."""
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    counts = dealt.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # over as many rows as there are partitions
+    first = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__first"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return dealt.withColumn("__r", rank).join(F.broadcast(first), "__p").withColumn("position", F.col("__first") + F.col("__r")).drop("__p", "__r", "__first")
+
+
 def last_event_wins(events: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The latest event of each key, by a max of (order, row): aggregated before the shuffle."""
     rest = [c for c in events.columns if c != key]

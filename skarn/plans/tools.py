@@ -226,8 +226,10 @@ def path_of(node: F.Column) -> F.Column:
 
 def _impact(index: Index, seeds: DataFrame, direction: str, depth: int, include_tests: bool) -> Answer:
     which = {"dependents": "backward", "dependencies": "forward"}.get(direction, "both")
-    edges = graph.materialise(graph.direction(graph_edges(index), which))
-    rows = graph.materialise(graph.impact(edges, seeds, _clamp(depth, 1, 8)).withColumn("path", path_of(F.col("node"))))
+    known = graph.materialise(graph_edges(index))
+    edges = graph.direction(known, which)
+    rows = graph.materialise(graph.impact(edges, seeds, _clamp(depth, 1, 8), known=known).withColumn("path", path_of(F.col("node"))))
+    doubt = edges.filter("uncertain is not null").join(rows.select(F.col("node").alias("dst"), "relation"), ["dst", "relation"], "left_semi")
     tests = rows.filter(tx.is_test(F.col("path"))).select("path").distinct()
     kept = rows if include_tests else rows.filter(~tx.is_test(F.col("path")))
     n = kept.agg(F.count("*").alias("n"))
@@ -238,6 +240,7 @@ def _impact(index: Index, seeds: DataFrame, direction: str, depth: int, include_
             "indirect_affected": kept.filter("affected = 'indirect'"),
             "files": kept.select("path").distinct(),
             "tests": tests,
+            "uncertainty_points": doubt.select(F.col("dst").alias("node"), "relation", F.col("uncertain").alias("reason")).distinct(),
             "risk_summary": n.select("n", structure.risk(F.col("n")).alias("risk")),
         },
     )
@@ -300,16 +303,16 @@ def pack_context(index: Index, sources: list[str], goal: str, token_budget: int
         rows = rows.unionByName(p)
     rows = structure.first_wins(rows, ["ref"], "src", "pos")
     if seeds:
-        nodes = spark.createDataFrame([(f"{kind}:{ids[0]}",) for kind, ids in seeds], "node string")
+        nodes = rows.filter("path is not null").select(F.concat(F.lit("file:"), "path").alias("node")).distinct()
         ranks = graph.pagerank(graph.neighbours(graph.materialise(graph_edges(index)), nodes), nodes)
-        rows = rows.join(ranks.select(F.substring("node", 8, 1 << 20).alias("ref"), "rank"), "ref", "left")
+        rows = rows.join(ranks.select(F.substring("node", 6, 1 << 20).alias("path"), "rank"), "path", "left")
     else:
         rows = rows.withColumn("rank", F.lit(0.0))
-    ordered = packing.segment_costs(rows).withColumn("seq", F.row_number().over(Window.orderBy("src", F.desc(F.round(F.coalesce("rank", F.lit(0.0)), 9)), "pos", "ref")).cast("long")).withColumn("goal", F.lit(goal))
+    ordered = packing.segment_costs(rows).withColumn("seq", F.row_number().over(Window.orderBy(F.desc(F.round(F.coalesce("rank", F.lit(0.0)), 9)), "src", "pos", "ref")).cast("long")).withColumn("goal", F.lit(goal))
     ordered = graph.materialise(ordered)  # a few hundred segments, read thrice
     packed = packing.budget_pack(ordered, int(left)).join(ordered.drop("goal"), "seq")
-    chosen = F.when(F.col("action") == "included", F.col("text")).otherwise(packing.summarise(F.col("text")))
-    body = packed.filter("action <> 'removed'").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", chosen.alias("t")))), lambda x: x["t"]), "\n\n").alias("b"), F.sum(F.when(F.col("action") == "included", F.col("cost")).otherwise(F.col("summary_cost"))).alias("cost"))
+    chosen = F.when(F.col("action") == "included", F.col("text")).otherwise(packing.summarise(F.col("text"), F.col("spent")))
+    body = packed.filter("action <> 'removed'").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", chosen.alias("t")))), lambda x: x["t"]), "\n\n").alias("b"), F.sum("spent").alias("cost"))
     text = body.select(F.concat(F.lit(header + "\n\n"), F.coalesce("b", F.lit(""))).alias("packed_context"), (F.lit(budget - int(left)) + F.coalesce("cost", F.lit(0))).alias("token_estimate"))
     lost = packed.filter("action <> 'included'").select("ref", "action", F.lit("budget").alias("reason"), F.lit(True).alias("recoverable"))
     full = ordered.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("content")).withColumn("handle", packing.handle_of(F.col("content")))
@@ -388,7 +391,9 @@ def consolidate(facts: DataFrame, dry_run: bool = True, threshold: float = 0.92)
     """Suggested, applied and blocked actions of a consolidation: triage, duplicates, supersession, contradictions.
 
     A note is changed by one supersession at most: the one with the best score,
-    then the smallest current note; its others are blocked.
+    then the smallest current note; its others are blocked.  ``facts`` are as the
+    applied ones leave them: ``superseded_by`` and ``supersedes`` are set, and a
+    triaged note lies in its folder.  A dry run applies none.
     """
     state = "sugerida" if dry_run else "aplicada"
     inbox = facts.filter("type = 'inbox'").withColumn("folder", tx.classify_note(F.col("title"), F.col("text"), F.col("tags")))
@@ -403,7 +408,37 @@ def consolidate(facts: DataFrame, dry_run: bool = True, threshold: float = 0.92)
     chain = first.join(first.filter("k = 1").select(F.col("origin").alias("current"), F.lit(True).alias("gone")), "current", "left")
     superseded = act(chain, "supersedencia", F.when((F.col("k") > 1) | F.coalesce("gone", F.lit(False)), "bloqueada").otherwise(state), F.array("origin", "current"), F.col("reason"), F.col("score"))
     against = act(facts.filter(memory.filled(F.col("contradiction_reason"))), "contradicao", "bloqueada", F.array("id"), F.col("contradiction_reason"))
-    return Answer(OK, {"actions": triage.unionByName(copies).unionByName(superseded).unionByName(against)})
+    actions = graph.materialise(triage.unionByName(copies).unionByName(superseded).unionByName(against))
+    done = actions.filter("state = 'aplicada'")
+    pairs = done.filter("category = 'supersedencia'").select(F.col("sources")[0].alias("origin"), F.col("sources")[1].alias("current"))
+    moved = done.filter("category = 'triagem'").select(F.col("sources")[0].alias("path"), F.col("reason").alias("__folder"))
+    out = facts.join(pairs.select(F.col("origin").alias("id"), F.col("current").alias("__by")), "id", "left")
+    out = out.join(pairs.groupBy(F.col("current").alias("id")).agg(F.min("origin").alias("__of")), "id", "left").join(moved, "path", "left")
+    place = F.concat_ws("/", "__folder", F.substring_index("path", "/", -1))
+    values = {"superseded_by": F.coalesce("__by", "superseded_by"), "supersedes": F.coalesce("__of", "supersedes"), "path": F.when(F.col("__folder").isNotNull(), place).otherwise(F.col("path"))}
+    return Answer(OK, {"actions": actions, "facts": out.withColumns(values).select(facts.columns), "report": dream_report(actions, dry_run)})
+
+
+def dream_report(actions: DataFrame, dry_run: bool) -> DataFrame:
+    """The report's text (line_no, line): a summary, then the actions by category and by state."""
+    spark = actions.sparkSession
+    kinds = {"triagem": "Triagem", "duplicata": "Duplicatas", "supersedencia": "Supersedencia", "contradicao": "Contradicoes"}
+    states = {"sugerida": "Acoes sugeridas", "aplicada": "Acoes aplicadas", "bloqueada": "Acoes bloqueadas"}
+    counts = {(r["category"], r["state"]): r["n"] for r in actions.groupBy("category", "state").agg(F.count("*").alias("n")).collect()}  # a dozen rows at most
+    total = lambda at, name: sum(n for k, n in counts.items() if k[at] == name)
+    head = ["# Dream Cycle", "", f"Modo: {'dry-run' if dry_run else 'apply'}", "", "## Resumo", ""]
+    head += [f"- {title}: {total(0, name)}" for name, title in kinds.items()] + [f"- {title.split()[1].capitalize()}: {total(1, name)}" for name, title in states.items()]
+    quoted = F.array_join(F.transform("sources", lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    line = F.concat_ws("\n", F.concat(F.lit("- **"), "category", F.lit("** ("), "state", F.lit(")")), F.concat(F.lit("  - fontes: "), quoted), F.concat(F.lit("  - motivo: "), "reason"), F.when(F.col("score").isNotNull(), F.concat(F.lit("  - score: "), F.format_string("%.3f", "score"))))
+    parts = [spark.createDataFrame([(0, "", "\n".join(head))], "section int, key string, line string")]
+    for k, (column, name, title) in enumerate([("category", n, t) for n, t in kinds.items()] + [("state", n, t) for n, t in states.items()], 1):
+        empty = "" if total(0 if column == "category" else 1, name) else "\n\n_Nenhum item._"
+        parts.append(spark.createDataFrame([(k, "", f"\n## {title}{empty}")], "section int, key string, line string"))
+        parts.append(actions.filter(F.col(column) == name).select(F.lit(k).alias("section"), F.concat(F.lit("~"), F.array_join("sources", ",")).alias("key"), line.alias("line")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("section", "key", "line")
 
 
 def think(facts: DataFrame, question: str, as_of: str | None = None, synthesise: Callable[[str, list[dict]], str] | None = None) -> Answer:
@@ -413,7 +448,7 @@ def think(facts: DataFrame, question: str, as_of: str | None = None, synthesise:
         return found
     chunks = graph.materialise(found.data["chunks"])
     q = facts.sparkSession.createDataFrame([(0, question)], "question_id int, question string")
-    data = {"citations": chunks, "unknown": memory.unmet_terms(q, chunks.select("title")), "contradictions": chunks.filter(memory.filled(F.col("contradiction_reason"))), "stale_sources": chunks.filter(memory.filled(F.col("stale_reason")))}
+    data = {"citations": chunks, "unknown": memory.unmet_terms(q, facts.join(chunks.select(F.col("note_id").alias("id")), "id", "left_semi").select("title", "tags"), tags="tags"), "contradictions": chunks.filter(memory.filled(F.col("contradiction_reason"))), "stale_sources": chunks.filter(memory.filled(F.col("stale_reason")))}
     signals = []
     if synthesise is None:
         signals.append("W_SYNTHESIS_UNAVAILABLE")

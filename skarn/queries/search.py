@@ -10,7 +10,7 @@ from skarn.functions.vectors import hash_embed, quantize_int8
 from skarn.operators import lexical, vector
 from skarn.queries import query, table
 
-_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_TOKENS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
 _BM25 = (
     "(2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END"
 )
@@ -40,7 +40,7 @@ WITH s AS (
 ), both_ AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY origin) AS k FROM (SELECT * FROM tiers UNION ALL SELECT * FROM fts)
 ), reasoned AS (
-  SELECT *, CASE WHEN lower(name) = 'the' THEN 'name_exact' WHEN starts_with(lower(name), 'the') THEN 'name_prefix' WHEN contains(lower(name), 'the') THEN 'name_token' WHEN contains(lower(path), 'the') THEN 'path_token' WHEN lower(kind) = 'the' THEN 'kind_token' ELSE 'fts_match' END AS match_reason FROM both_ WHERE k = 1
+  SELECT *, CASE WHEN lower(name) = 'the' THEN 'name_exact' WHEN starts_with(lower(name), 'the') THEN 'name_prefix' WHEN contains(lower(name), 'the') THEN 'name_token' WHEN contains(lower(path), 'the') THEN 'path_token' WHEN contains(lower(kind), 'the') THEN 'kind_token' ELSE 'fts_match' END AS match_reason FROM both_ WHERE k = 1
 )
 SELECT id, name, path, kind, match_reason,
   floor(greatest(0.0, CASE match_reason WHEN 'name_exact' THEN 1.0 WHEN 'name_prefix' THEN 0.9 WHEN 'name_token' THEN 0.8 WHEN 'path_token' THEN 0.65 WHEN 'kind_token' THEN 0.5 ELSE 0.4 END
@@ -104,10 +104,10 @@ def substring_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH r AS (
-  SELECT p_partkey, p_brand, CASE WHEN lower(p_name) = 'an' THEN 'name_exact' WHEN starts_with(lower(p_name), 'an') THEN 'name_prefix' WHEN contains(lower(p_name), 'an') THEN 'name_token' WHEN contains(lower(p_brand), 'an') THEN 'path_token' WHEN lower(p_type) = 'an' THEN 'kind_token' ELSE 'fts_match' END AS match_reason, p_size FROM part
+  SELECT p_partkey, p_brand, CASE WHEN lower(p_name) = 'an' THEN 'name_exact' WHEN starts_with(lower(p_name), 'an') THEN 'name_prefix' WHEN contains(lower(p_name), 'an') THEN 'name_token' WHEN contains(lower(p_brand), 'an') THEN 'path_token' WHEN contains(lower(p_type), 'an') THEN 'kind_token' ELSE 'fts_match' END AS match_reason, p_size FROM part
 )
 SELECT p_partkey, match_reason, floor(greatest(0.0, CASE match_reason WHEN 'name_exact' THEN 1.0 WHEN 'name_prefix' THEN 0.9 WHEN 'name_token' THEN 0.8 WHEN 'path_token' THEN 0.65 WHEN 'kind_token' THEN 0.5 ELSE 0.4 END
-  + least(0.09, greatest(0.0, p_size / 100.0)) - least(0.08, 0.005 * len(list_filter(string_split(p_brand, '/'), lambda x: x <> '')))) * 10000 + 0.5) / 10000 AS score
+  + least(0.09, greatest(0.0, p_size / 100.0)) - least(0.08, 0.005 * len(string_split(p_brand, '/')))) * 10000 + 0.5) / 10000 AS score
 FROM r
 """
 )
@@ -197,9 +197,22 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.hybrid(*_lists(spark, sf_dir), 20)
 
 
-@query()
+@query(
+    """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents),
+h AS (
+  SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(word, ''), lambda c: ascii(c)::BIGINT)), lambda acc, c: (xor(acc, c) * 16777619) & 4294967295) AS u FROM w
+), counts AS (SELECT doc_id, least(u, 4294967296 - u) % 64 AS bucket, count(*) AS n FROM h GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM counts GROUP BY doc_id),
+cells AS (SELECT doc_id, string_agg(bucket || ':' || round((n / norm)::FLOAT::DOUBLE * 10000)::BIGINT, ',' ORDER BY bucket) AS vector FROM counts JOIN norms USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(vector, '') AS vector FROM documents LEFT JOIN cells USING (doc_id)
+"""
+)
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", hash_embed("text").alias("vector"))
+    """The filled places of each text's vector, in ten-thousandths."""
+    made = table(spark, sf_dir, "documents").select("doc_id", hash_embed("text").alias("v"))
+    cells = F.transform("v", lambda x, i: F.when(x > 0, F.concat_ws(":", i.cast("string"), F.round(x.cast("double") * 10000).cast("long").cast("string"))))
+    return made.select("doc_id", F.array_join(cells, ",").alias("vector"))
 
 
 @query("SELECT page_id, coalesce(list_filter(regexp_split_to_array(url, '[.:]'), lambda x: x <> '')[-1], url) AS target FROM pages")
@@ -207,13 +220,21 @@ def target_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.target_name(F.col("url")).alias("target"))
 
 
-_LANG = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in tx.LANGUAGES.items())
+_ENDS = [".ts", ".TSX", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".py", ".PYW", ".go", ".java", ".rs", ".kt", ".kts", ".dart", ".cs", ".csx", ".md", ".pyi", "", ".ts/x"]
 
 
-@query(f"SELECT p_partkey, CASE regexp_extract(lower(path), '(\\.[^./]*)$', 1) {_LANG} ELSE 'unsupported' END AS language FROM (SELECT p_partkey, p_name || (['.ts', '.PY', '.md', '.rs', '', '.kt', '.cs'])[1 + p_size % 7] AS path FROM part)")
+@query(
+    f"""
+SELECT p_partkey, CASE regexp_extract(lower(path), '(\\.[^./]*)$', 1)
+  WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.mts' THEN 'typescript' WHEN '.cts' THEN 'typescript'
+  WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.cjs' THEN 'javascript'
+  WHEN '.py' THEN 'python' WHEN '.pyw' THEN 'python' WHEN '.go' THEN 'go' WHEN '.java' THEN 'java' WHEN '.rs' THEN 'rust'
+  WHEN '.kt' THEN 'kotlin' WHEN '.kts' THEN 'kotlin' WHEN '.dart' THEN 'dart' WHEN '.cs' THEN 'csharp' WHEN '.csx' THEN 'csharp' ELSE 'unsupported' END AS language
+FROM (SELECT p_partkey, p_name || ({_ENDS})[1 + p_partkey % {len(_ENDS)}] AS path FROM part)
+"""
+)
 def language_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.lit([".ts", ".PY", ".md", ".rs", "", ".kt", ".cs"])
-    path = F.concat("p_name", F.element_at(ends, F.col("p_size") % 7 + 1))
+    path = F.concat("p_name", F.element_at(F.lit(_ENDS), (F.col("p_partkey") % len(_ENDS) + 1).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", tx.language_of(path).alias("language"))
 
 
@@ -231,9 +252,10 @@ def note_identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.note_id(path, F.col("text")).alias("note"))
 
 
-@query("SELECT doc_id, sha256(substr(source || ' ' || lang || ' ' || 'note' || chr(10) || text, 1, 2000)) AS digest FROM documents")
+@query("SELECT doc_id, sha256(substr(source || ' ' || lang || ' note' || CASE WHEN doc_id % 7 = 0 OR coalesce(text, '') = '' THEN '' ELSE chr(10) || text END, 1, 2000)) AS digest FROM documents")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunk = tx.chunk_text(F.col("source"), F.col("lang"), F.lit("note"), F.col("text"))
+    """Chunks of all documents; each seventh as if it had no body."""
+    chunk = tx.chunk_text(F.col("source"), F.col("lang"), F.lit("note"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(chunk.cast("binary"), 256).alias("digest"))
 
 

@@ -240,31 +240,31 @@ def _unrolled(iterations: int) -> str:
     steps = ["r0 AS (SELECT node, p, dangling, p AS rank FROM base)"]
     for i in range(1, iterations + 1):
         steps.append(
-            f"r{i} AS (SELECT r.node, p, dangling, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE dangling)) * p + 0.85 * coalesce(g.gain, 0) AS rank FROM r{i - 1} r "
+            f"r{i} AS MATERIALIZED (SELECT r.node, p, dangling, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE dangling)) * p + 0.85 * coalesce(g.gain, 0) AS rank FROM r{i - 1} r "
             f"LEFT JOIN (SELECT dst AS node, sum(rank * share) AS gain FROM e JOIN r{i - 1} ON node = src GROUP BY dst) g USING (node))"
         )
     return ", ".join(steps)
 
 
-@query(
-    f"""
+_RANKS = """
 WITH forward AS (
   SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst, 2.0::DOUBLE AS weight FROM customer
   UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 1.0 FROM nation UNION ALL SELECT 'r:' || n_regionkey, 'n:' || n_nationkey, 1.0 FROM nation
 ), e AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM forward),
 nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 base AS (SELECT node, CASE WHEN node IN ('c:1', 'n:2') THEN 1.0 / (SELECT count(*) FROM nodes WHERE node IN ('c:1', 'n:2')) ELSE 0.0 END::DOUBLE AS p, node NOT IN (SELECT src FROM e) AS dangling FROM nodes),
-{_unrolled(10)} SELECT node, round(rank, 6) AS rank FROM r10
 """
-)
+
+
+@query(f"{_RANKS}{_unrolled(10)} SELECT node, round(rank, 6) AS rank FROM r10")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks after ten steps, as in the SQL; ``pagerank_converged`` goes on to the operator's end."""
     return graph.pagerank(*_rank_graph(spark, sf_dir), iterations=10, tolerance=0).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query(f"{_RANKS}{_unrolled(30)} SELECT node, round(rank, 6) AS rank FROM r30")
 def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator's defaults: up to 30 steps, L1 tolerance 1e-6."""
+    """The operator's defaults: up to 30 steps, L1 tolerance 1e-6, which this graph doesn't reach before."""
     return graph.pagerank(*_rank_graph(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
 
@@ -276,9 +276,23 @@ def _rank_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return edges, _seed(spark, "c:1").union(_seed(spark, "n:2"))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE {_EDGES}, walk(node, depth) AS (SELECT 'n:3', 0 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 2),
+levels AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+own AS (SELECT src, dst, sum(weight) AS w FROM edges WHERE src IN (SELECT node FROM levels WHERE depth < 2) GROUP BY src, dst),
+e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM own),
+nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+base AS (SELECT node, (node = 'n:3')::INT::DOUBLE AS p, node NOT IN (SELECT src FROM e) AS dangling FROM nodes),
+{_unrolled(30)}, rows_ AS (
+  SELECT l.node, l.depth, (SELECT min(relation) FROM edges JOIN levels p ON p.node = src WHERE dst = l.node AND p.depth = l.depth - 1) AS relation, coalesce(rank, 0) AS rank,
+    CASE WHEN l.depth = 1 THEN 'direct' ELSE 'indirect' END AS affected FROM levels l LEFT JOIN r30 USING (node) WHERE l.depth > 0
+), cut AS (SELECT *, row_number() OVER (PARTITION BY affected ORDER BY round(rank, 9) DESC, depth, node) AS k FROM rows_)
+SELECT node, depth, relation, round(rank, 6) AS rank, affected FROM cut WHERE k <= CASE affected WHEN 'direct' THEN 50 ELSE 100 END
+"""
+)
 def impact_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.impact(graph.with_inverse(_edges(spark, sf_dir)), _seed(spark, "n:3"), 2)
+    return graph.impact(graph.with_inverse(_edges(spark, sf_dir)), _seed(spark, "n:3"), 2).withColumn("rank", F.round("rank", 6))
 
 
 @query("SELECT dir, count(*) AS n, CASE WHEN count(*) >= 8 THEN 'alto' WHEN count(*) >= 4 THEN 'medio' ELSE 'baixo' END AS risk FROM (SELECT regexp_extract(url, '^(.*)/', 1) AS dir FROM pages) GROUP BY dir")
@@ -292,12 +306,20 @@ def affected_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(tx.dirname(F.col("url")).alias("area")).distinct()
 
 
-@query()
+@query(
+    """
+SELECT page_id AS diff, 'p' || page_id AS path, (3 + page_id % 70)::INT AS start_line, (6 + page_id % 70)::INT AS end_line FROM pages
+UNION ALL SELECT page_id, 'p' || page_id, (9 + page_id % 50)::INT, (11 + page_id % 50)::INT FROM pages
+UNION ALL SELECT page_id, 'gone' || page_id, 1, 1 FROM pages
+"""
+)
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hunks of a patch that touches every page."""
+    """Hunks of a patch for every page: a change, a deletion whose removed line looks like a header, and a file that goes away."""
     p = table(spark, sf_dir, "pages")
-    lines = F.array(F.concat(F.lit("--- a/p"), "page_id"), F.concat(F.lit("+++ b/p"), "page_id"), F.lit("@@ -1,2 +3,4 @@ x"), F.lit("+line"), F.lit("@@ -9,3 +12,0 @@"))
-    return diffs.parse_hunks(p.select(F.col("page_id").alias("diff"), F.posexplode(lines).alias("line_no", "line")))
+    at = lambda n, m: (F.lit(n) + F.col("page_id") % m).cast("string")
+    lines = [F.concat(F.lit("--- a/p"), "page_id"), F.concat(F.lit("+++ b/p"), "page_id"), F.concat(F.lit("@@ -1,2 +"), at(3, 70), F.lit(",4 @@ x")), F.lit("+line"), F.lit("--- a/text")]
+    lines += [F.concat(F.lit("@@ -"), at(9, 50), F.lit(",3 +12,0 @@")), F.concat(F.lit("--- a/gone"), "page_id"), F.lit("+++ /dev/null"), F.lit("@@ -1 +0,0 @@")]
+    return diffs.parse_hunks(p.select(F.col("page_id").alias("diff"), F.posexplode(F.array(*lines)).alias("line_no", "line")))
 
 
 _LAST = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"
@@ -333,7 +355,7 @@ def handle_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.evict(h, now, protected=F.col("handle") == 5).select(F.col("handle").alias("event_id"), F.col("created_at").alias("ts"))
 
 
-@query(f"SELECT href, n, '$' || row_number() OVER (ORDER BY n DESC, href) AS alias FROM (SELECT href, count(*) AS n FROM ({_HREFS}) GROUP BY href HAVING count(*) >= 2 ORDER BY n DESC, href LIMIT 1000)")
+@query(f"WITH d AS (SELECT href, count(*) AS n FROM ({_HREFS}) GROUP BY href HAVING count(*) >= 2) SELECT href, n, '$' || (row_number() OVER (ORDER BY href) - 1) AS alias FROM d WHERE (SELECT count(*) FROM d) >= 2")
 def path_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.path_dictionary(_hrefs(spark, sf_dir).select("href"), "href")
 
@@ -356,19 +378,22 @@ SELECT o_custkey AS goal, o_orderkey AS seq, (1 + o_totalprice / 1000)::BIGINT A
 """
 
 
+_SHORT = "CASE WHEN cost <= {0} THEN cost WHEN 3 * brief <= {0} THEN 3 * brief WHEN brief <= {0} THEN brief ELSE 0 END"
+_ACTION = "CASE WHEN cost <= {0} THEN 'included' WHEN brief <= {0} THEN 'summarized' ELSE 'removed' END"
+
+
 @query(
     f"""
 WITH RECURSIVE s AS ({_COSTS.replace("(1 + o_totalprice / 1000)::BIGINT", "floor(1 + o_totalprice / 1000)::BIGINT")}), walk AS (
-  SELECT goal, seq, k, CASE WHEN cost <= 400 THEN 'included' WHEN brief <= 400 THEN 'summarized' ELSE 'removed' END AS action, 400 - CASE WHEN cost <= 400 THEN cost WHEN brief <= 400 THEN brief ELSE 0 END AS room FROM s WHERE k = 1
+  SELECT goal, seq, k, {_ACTION.format("400")} AS action, {_SHORT.format("400")} AS spent, 400 - {_SHORT.format("400")} AS room FROM s WHERE k = 1
   UNION ALL
-  SELECT s.goal, s.seq, s.k, CASE WHEN cost <= room THEN 'included' WHEN brief <= room THEN 'summarized' ELSE 'removed' END, room - CASE WHEN cost <= room THEN cost WHEN brief <= room THEN brief ELSE 0 END
-  FROM walk JOIN s ON s.goal = walk.goal AND s.k = walk.k + 1
-) SELECT goal, seq, action FROM walk
+  SELECT s.goal, s.seq, s.k, {_ACTION.format("room")}, {_SHORT.format("room")}, room - {_SHORT.format("room")} FROM walk JOIN s ON s.goal = walk.goal AND s.k = walk.k + 1
+) SELECT goal, seq, action, spent::BIGINT AS spent FROM walk
 """
 )
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    segments = o.select(F.col("o_custkey").alias("goal"), F.col("o_orderkey").alias("seq"), F.floor(1 + F.col("o_totalprice") / 1000).alias("cost"), (1 + F.col("o_orderkey") % 40).alias("summary_cost"))
+    segments = o.select(F.col("o_custkey").alias("goal"), F.col("o_orderkey").alias("seq"), F.floor(1 + F.col("o_totalprice") / 1000).alias("cost"), F.array(1 + F.col("o_orderkey") % 40, 3 + 3 * (F.col("o_orderkey") % 40)).alias("summary_costs"))
     return packing.budget_pack(segments, 400)
 
 

@@ -28,7 +28,7 @@ def _list(value: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Notes of files (path, content): id, title, tags, links, text and the fields of the front matter."""
+    """Notes of files (path, content): id, title, tags, links, text and the fields of the front matter; a note without a type lies in the inbox."""
     head = F.regexp_extract("content", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?", 1)
     lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z_]\w*\s*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:\s*", "")).alias("v")))
@@ -39,7 +39,7 @@ def parse(files: DataFrame) -> DataFrame:
     held = files.withColumns({"__m": table, "text": body})
     value = lambda k: F.nullif(F.regexp_replace(F.trim(F.try_element_at(F.col("__m"), F.lit(k))), "^[\"']|[\"']$", ""), F.lit(""))
     title = F.coalesce(value("title"), F.nullif(F.regexp_extract("text", r"(?m)^# +(.+)$", 1), F.lit("")), F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), r"\.md$", ""))
-    return held.select(note_id(F.col("path"), F.col("content")).alias("id"), "path", title.alias("title"), _list(value("tags")).alias("tags"), _list(value("links")).alias("links"), "text", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), *[value(k).alias(k) for k in FIELDS])
+    return held.select(note_id(F.col("path"), F.col("content")).alias("id"), "path", title.alias("title"), _list(value("tags")).alias("tags"), _list(value("links")).alias("links"), "text", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), *[(F.coalesce(value(k), F.lit("inbox")) if k == "type" else value(k)).alias(k) for k in FIELDS])
 
 
 def normalise(notes: DataFrame) -> DataFrame:

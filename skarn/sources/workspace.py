@@ -34,7 +34,7 @@ def discover(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, ma
         rows = rows.filter(~F.col("path").rlike(_regex(pattern)))
     small = rows.filter(F.col("size") <= max_bytes)
     large = rows.filter(F.col("size") > max_bytes).select(F.lit("MAX_FILE_SIZE").alias("code"), "path")
-    kept = small.orderBy("path").limit(max_files)
+    kept = small.join(F.broadcast(small.select("path").orderBy("path").limit(max_files)), "path", "left_semi")  # names alone are sorted and cut: at most ``max_files``
     beyond = small.select("path").orderBy("path").offset(max_files).limit(1).select(F.lit("MAX_FILE_COUNT").alias("code"), F.lit(None).cast("string").alias("path"))
     return kept.withColumn("content", F.expr("try_validate_utf8(cast(content as string))")), large.unionByName(beyond)
 
@@ -95,8 +95,8 @@ def git_delta(spark: SparkSession, root: str, ref: str) -> DataFrame | None:
 
 
 def changed_files(spark: SparkSession, root: str, scope: str = "all", base_ref: str | None = None) -> tuple[DataFrame, str]:
-    """Changed paths and their patch by scope: unstaged, staged, all, or compare (with ``base_ref``)."""
-    args = {"unstaged": [[]], "staged": [["--cached"]], "all": [["HEAD"]], "compare": [[f"{base_ref}...HEAD"]]}
+    """Changed paths and their patch by scope: unstaged, staged, all, or compare (with ``base_ref``); untracked files are unstaged."""
+    args = {"unstaged": [[]], "staged": [["--cached"]], "all": [[], ["--cached"]], "compare": [[f"{base_ref}...HEAD"]]}
     if scope not in args or scope == "compare" and not base_ref:
         raise ValueError("E_BASE_REF_REQUIRED" if scope == "compare" else f"no such scope: {scope}")
     names, patch = set(), ""
@@ -106,4 +106,6 @@ def changed_files(spark: SparkSession, root: str, scope: str = "all", base_ref:
             raise ValueError("E_GIT_DIFF_UNAVAILABLE")
         names |= set(found[0].stdout.splitlines())
         patch += found[1].stdout
+    if scope in ("unstaged", "all"):
+        names |= set(subprocess.run(["git", "-C", root, "ls-files", "--others", "--exclude-standard"], capture_output=True, text=True, check=True).stdout.splitlines())
     return spark.createDataFrame([(n,) for n in sorted(names)], "path string"), patch

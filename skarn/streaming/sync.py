@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skarn.operators.structure import apply_delta, last_event_wins
+from skarn.sources import pointers
 
 
 def change_feed(spark: SparkSession, folder: str, schema: str, fmt: str = "json") -> DataFrame:
@@ -33,24 +34,21 @@ class KeyedTable:
         self.spark, self.folder, self.schema, self.key = spark, folder, schema, key
 
     def _pointer(self) -> int:
-        try:
-            row = self.spark.read.schema("batch long").json(f"{self.folder}/current").first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return -1
-            raise
-        return -1 if row is None else row[0]
+        found = pointers.newest(self.spark, self.folder)
+        return -1 if found is None else found[0]
 
     def read(self) -> DataFrame:
         n = self._pointer()
         return self.spark.createDataFrame([], self.schema) if n < 0 else self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{n}")
 
     def apply(self, upserts: DataFrame, removed: DataFrame, batch: int) -> None:
-        if batch <= self._pointer():
+        last = self._pointer()
+        if batch <= last:
             return
         rows = self.read()
         apply_delta(rows, upserts.select(rows.columns), removed, self.key).write.mode("overwrite").parquet(f"{self.folder}/v{batch}")
-        self.spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{self.folder}/current")
+        pointers.add(self.spark, self.folder, batch, f"v{batch}")
+        pointers.drop_before(self.spark, self.folder, last)  # the version before the last, which a reader may still have, stays
 
 
 def keep_current(feed: DataFrame, table: KeyedTable, ts: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, **trigger: object) -> StreamingQuery:

@@ -1,19 +1,20 @@
-"""The query compacts every document, those with line numbers and null texts too."""
+"""Compaction of texts: line numbers, white space, blank lines, nulls."""
 
-import hashlib
 import re
 
-from skarn.queries import QUERIES, memory
+from pyspark.sql import functions as F
 
+from skarn.functions import text as tx
 
-def test_numbered_lines_and_nulls_are_kept(spark, tmp_path):
-    texts = ["1| first\n2: second\n", "  plain \n\n\n\nend\t", "10:x", "", None]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["digest"] for r in QUERIES["compact_text"](spark, str(tmp_path)).collect()}
 
-    def plain(t):
-        lines = [re.sub(r"^\s*[0-9]+[|:]\s?", "", x).strip(" \t") for x in t.split("\n")]
-        return re.sub("\n{3,}", "\n\n", "\n".join(lines))
+def plain(t):
+    lines = [re.sub(r"^\s*[0-9]+[:\t]", "", x).strip() for x in t.split("\n")]
+    kept = [x for i, x in enumerate(lines) if x or i == 0 or lines[i - 1]]
+    return "\n".join(kept).strip()
 
-    assert got == {i: t if t is None else hashlib.sha256(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
-    assert memory
+
+def test_texts_are_compacted_as_by_lines(spark):
+    texts = ["1| first\n2: second\n", "  12\tfoo  \n\n\n  \n3: bar\n", "  plain \n\n\n\nend\t", "10:x", "\u00a0 7:\u3000y \r\n", "4: 5: z", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.compact_text(F.col("t")).alias("c")).collect()
+    assert {r["i"]: r["c"] for r in got} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    assert dict((r["i"], r["c"]) for r in got)[1] == "foo\n\nbar"
