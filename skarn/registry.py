@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from skarn.queries import ORACLE_SQL, QUERIES, memory, search, structure
+from skarn.queries import ORACLE_SQL, QUERIES, memory, search, structure, tools
 
-__all__ = ["ORACLE_SQL", "QUERIES", "memory", "search", "structure"]
+__all__ = ["ORACLE_SQL", "QUERIES", "memory", "search", "structure", "tools"]
