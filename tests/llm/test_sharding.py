@@ -1,5 +1,6 @@
 import zlib
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,3 +54,56 @@ def test_rows_stay_at_home_where_there_is_room_and_few_move_when_a_shard_is_adde
 
 def test_an_empty_table_gives_no_rows(docs):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def walk(nodes, counts, caps):
+    """Row by row: home rows first, then each row left over goes clockwise to the first point whose shard has room."""
+    used, out, over = [0] * len(caps), {}, []
+    for key, n in sorted(counts.items()):
+        for _ in range(n):
+            shard = nodes[key[0]][1]
+            if used[shard] < caps[shard]:
+                out.setdefault(key, []).append(shard)
+                used[shard] += 1
+            else:
+                over.append(key)
+    for key in over:
+        at = key[0]
+        while used[nodes[at % len(nodes)][1]] >= caps[nodes[at % len(nodes)][1]]:
+            at += 1
+        shard = nodes[at % len(nodes)][1]
+        out.setdefault(key, []).append(shard)
+        used[shard] += 1
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 23), st.integers(0, 2)), st.integers(1, 30), min_size=1, max_size=20), st.sampled_from([0.0, 0.25]))
+def test_overflow_goes_clockwise_as_in_a_plain_walk(counts, slack):
+    nodes = sharding.ring(4, 6)
+    caps = sharding.capacities(sum(counts.values()), nodes, 4, slack)
+    runs = {}
+    for arc, sub, first, shard, _ in sharding.fill(nodes, counts, 4, slack):
+        runs.setdefault((arc, sub), []).append((first, shard))
+    want = walk(nodes, counts, caps)
+    for key, n in counts.items():
+        own = sorted(runs[key]) + [(n, None)]
+        got = [shard for (a, shard), (b, _) in zip(own, own[1:]) for _ in range(b - a)]
+        assert sorted(got) == sorted(want[key])
+
+
+def test_home_is_the_first_point_clockwise(docs):
+    nodes = sharding.ring(4)
+    for r in sharding.shard_documents(docs, 4).collect():
+        key = xxhash.xxh64_intdigest(str("" if r["doc_id"] is None else r["doc_id"]), 42)
+        key = key - (1 << 64) if key >> 63 else key
+        assert r["home"] == next((s for p, s in nodes if p >= key), nodes[0][1])
+
+
+def test_equal_rows_each_get_a_slot(spark):
+    docs = spark.createDataFrame([(7, "same")] * 50 + [(None, None)] * 30, "doc_id long, text string").repartition(5)
+    rows = sharding.shard_documents(docs, 3).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 80 and all(sorted(v) == list(range(len(v))) for v in by.values()) and sorted(map(len, by.values())) == [26, 27, 27]
