@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
+from skarn.operators.graph import materialise
 
 K1, B = 1.2, 0.75
 
@@ -25,29 +26,34 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for w in re.findall(r"[\w-]+", tx.fold_word(query).lower()) for t in re.findall(r"[^\W_]+", w)))
 
 
-def corpus_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """One row: n documents and avgdl tokens a document."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tx.tokens(F.col(text_column))).cast("double")).alias("avgdl"))
+def token_line(text: F.Column) -> F.Column:
+    """The text's tokens in order, with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(tx.fold_marks(text)), "[^\\p{L}\\p{N}]+", " "))
 
 
-def phrase_count(own: F.Column, phrase: list[str]) -> F.Column:
-    """How often a phrase of adjacent tokens stands in a token array."""
-    if len(phrase) == 1:
-        return F.size(F.filter(own, lambda t: t == phrase[0]))
-    return F.size(F.filter(F.transform(own, lambda t, i: (t == phrase[0]) & (F.array_join(F.slice(own, i + 1, len(phrase)), " ") == " ".join(phrase))), lambda x: x))
+def token_number(line: F.Column) -> F.Column:
+    """How many tokens a ``token_line`` has."""
+    return F.when(line == "", 0).otherwise(F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def phrase_count(line: F.Column, phrase: list[str]) -> F.Column:
+    """How often a phrase of adjacent tokens stands in a ``token_line``; occurrences may overlap."""
+    head, *rest = phrase
+    return F.regexp_count(F.concat(F.lit(" "), line, F.lit(" ")), F.lit(f"(?<= ){head} " + (f"(?={' '.join(rest)} )" if rest else "")))
 
 
 def bm25(docs: DataFrame, phrases: list[list[str]], match: str = "all", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of ``docs`` that match, with rank (negative: better).
 
-    The query's few phrases are counted in each row's tokens in one pass, so no
-    postings are shuffled; document frequencies and lengths come from one
-    aggregate of that pass.  A phrase in over half the documents has weight 1e-6.
+    The query's few phrases are counted in each row's tokens in one pass over the
+    texts, so no postings are shuffled.  Its narrow result is written; document
+    frequencies and lengths are one aggregate of that.  A phrase in over half the
+    documents has weight 1e-6.
     """
     columns = [c for c in docs.columns if c != text_column]
-    counted = docs.withColumn("__own", tx.tokens(F.col(text_column)))
+    counted = docs.withColumn("__own", F.coalesce(token_line(F.col(text_column)), F.lit("")))
     tf = F.array(*[phrase_count(F.col("__own"), p) for p in phrases])
-    rows = counted.select(*columns, F.size("__own").cast("double").alias("__dl"), tf.alias("__tf"))
+    rows = materialise(counted.select(*columns, token_number(F.col("__own")).cast("double").alias("__dl"), tf.alias("__tf")))
     stats = rows.agg(F.count("*").cast("double").alias("__n"), F.avg("__dl").alias("__avgdl"), F.array(*[F.sum(F.when(F.col("__tf")[i] > 0, 1).otherwise(0)).cast("double") for i in range(len(phrases))]).alias("__df"))
     found = F.exists("__tf", lambda c: c > 0) if match == "any" else F.forall("__tf", lambda c: c > 0)
     score = F.lit(0.0)
