@@ -15,15 +15,16 @@ left-to-right traversal from the state of the text's start.
 Plan.  The model grows with the corpus and is nowhere whole.
 
 1. One pass over the texts cuts them into chunks of about ``CHUNK`` words.  A
-   chunk yields its word sequence as small numbers, and for every range of
-   n-gram hashes that it meets one packed message: its distinct n-grams and how
-   often its training documents have them.  An n-gram is in a chunk's message
+   chunk's word sequence goes as small numbers to a file of its task in the shared
+   scratch folder, and only its place travels.  For every range of n-gram hashes
+   that the chunk meets it yields one packed message: its distinct n-grams and
+   how often its training documents have them.  An n-gram is in a chunk's message
    once, so a frequent one is no hot key, and there are never more messages than
    n-grams, however many chunks and ranges there are.
 2. Each range sums its messages and answers every chunk with the totals.  Ranges
    are as many as the input's bytes ask for, so that one fits in memory.
-3. Each chunk unites the answers with its sequence to the part of the automaton
-   that its texts can visit, and traverses them.
+3. Each chunk's answers meet, and with its sequence, read by range, are the part
+   of the automaton that its texts can visit; they are traversed.
 
 Words are known by 64-bit hashes, longer n-grams by the leading bits that leave a
 chance of about 2^-16 that one meets another, at any size of the input.  The
@@ -33,8 +34,10 @@ from a written table.
 
 from __future__ import annotations
 
+import json
 import pickle
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -46,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import remainder, stash
+from skarn.llm.common import open_shared, remainder, scratch_path, stash
 
 #: Words in a chunk, and text bytes for which there is one range of hashes.
 CHUNK, RANGE_BYTES = 1_250_000, 8 << 20
@@ -234,13 +237,25 @@ def _opened(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return hashes, unpack(payload[16 + a : 16 + a + b]).astype(np.int64), flags, documents
 
 
-def _chunks(ranges: int, chunk_words: int, order: int, mask: np.uint64):
+def _chunks(ranges: int, chunk_words: int, order: int, mask: np.uint64, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, builder = TaskContext.get().partitionId(), 0, Builder()
+        # no other attempt of this task takes the name; only rows of the attempt that counts refer to it
+        store, base = open_shared(folder)
+        name, out, written = f"{task}-{uuid.uuid4().hex}", None, 0
 
         def messages() -> Iterator[pa.RecordBatch]:
+            nonlocal out, written
             chunk = builder.close()
             at = (task << 24) + n
+            if out is None:
+                store.create_dir(base, recursive=True)
+                out = store.open_output_stream(f"{base}/{name}")
+            data = chunk.dump()
+            out.write(data)
+            place = json.dumps([f"{folder}/{name}", written, len(data)]).encode()
+            written += len(data)
+            del data
             hashes, places = chunk.ngrams(order, mask)
             seen = training_counts(chunk, len(hashes), places)
             train = ~chunk.held_out
@@ -250,7 +265,7 @@ def _chunks(ranges: int, chunk_words: int, order: int, mask: np.uint64):
             dest = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             cut = np.searchsorted(dest, np.arange(ranges + 1))
             # dealt round by task: by ``at``, whose low bits are the same for all tasks, they would meet in a few ranges
-            rows = [((task + n) % ranges, SEQUENCE, at, 0, chunk.dump())]
+            rows = [((task + n) % ranges, SEQUENCE, at, 0, place)]
             for r in range(ranges):
                 a, b = int(cut[r]), int(cut[r + 1])
                 if a < b:
@@ -266,10 +281,19 @@ def _chunks(ranges: int, chunk_words: int, order: int, mask: np.uint64):
                     n, builder = n + 1, Builder()
         if builder.ids:
             yield from messages()
+        if out is not None:
+            out.close()
 
     return run
 
 
+def _read_chunk(place: bytes) -> Chunk:
+    path, at, n = json.loads(place)
+    store, name = open_shared(path)
+    with store.open_input_file(name) as f:
+        return Chunk.load(f.read_at(n, at))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["dest", "kind", "chunk", "part", "payload"])
@@ -336,7 +360,7 @@ def _scores(root: Root, backoff: Sequence[float], order: int, mask: np.uint64):
                     yield close(chunk, answers)
                 at, chunk, answers = n, None, []
             if kind == SEQUENCE:
-                chunk = Chunk.load(payload)
+                chunk = _read_chunk(payload)
             else:
                 answers.append((part, payload))
         if chunk is not None:
@@ -362,7 +386,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, backoff: Sequence[float] =
     ranges = max(4, -(-size // range_bytes))
     kind = docs.schema["doc_id"].dataType
     mask = hash_mask(size)
-    messages = own.mapInArrow(_chunks(ranges, chunk_words, order, mask), _SCHEMA)
+    messages = own.mapInArrow(_chunks(ranges, chunk_words, order, mask, scratch_path(docs.sparkSession, ".sequences")), _SCHEMA)
     answers = stash(messages.repartitionById(ranges, F.col("dest").cast("int")).sortWithinPartitions("dest", "kind").mapInArrow(_answer, _SCHEMA))
     root = Root()
     for row in answers.filter(F.col("kind") == TOTALS).select("payload").toLocalIterator():  # one small row a range
