@@ -36,7 +36,7 @@ from skarn.llm.common import stash
 
 GENERALISE, REMOVE, SUPPORT = 0.9, 0.98, 3
 #: Parts that the copies of a text are dealt into, and matches whose places are found in one go.
-SALTS, BLOCK = 32, 512
+SALTS, FEW = 32, 32
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the method adds, by what is done to them.
 TERM_KINDS = ("generalised", "removed")
@@ -85,8 +85,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def find_spans(text: Column, pattern: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of the pattern's matches, in code points, end exclusive.
+def find_spans(text: Column, pattern: Column, kind: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<kind, start, end, value>> of the pattern's matches (those whose value ``keep`` wants), in code points, end exclusive.
 
     Splitting at the matches gives the stretches between them, whose lengths
     give the places.
@@ -98,18 +98,20 @@ def find_spans(text: Column, pattern: Column, kind: str) -> Column:
     def step(acc: Column, v: Column) -> Column:
         first = acc["at"] + F.char_length(v["gap"])
         end = first + F.char_length(v["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), first.alias("start"), end.alias("end"), v["value"].alias("value")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), first.alias("start"), end.alias("end"), v["value"].alias("value"))))
+        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(v["value"]), more).otherwise(acc["out"])).alias("out"))
 
     def blocks(acc: Column, block: Column) -> Column:
         begun = F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("out"))
         return _let(F.aggregate(block, begun, step), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
     def places(pairs: Column) -> Column:
-        # an array grows by one copy a step: in blocks, so that many matches cost BLOCK / 2 each and not half their number
+        # a step copies what there is so far: n matches in blocks of their root cost n steps of that root, not of n
         n = F.size(pairs)
-        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+        size = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.slice(pairs, i * size + 1, size))
         many = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out")), blocks, lambda acc: F.flatten(acc["out"]))
-        return F.when(n > BLOCK, many).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+        return F.when(n > FEW, many).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["out"]))
 
     return _let(F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), places)
 
@@ -189,7 +191,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     once = docs.select(_key(_text()).alias("__key"), "text").join(held.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
     terms = stash(_with_spans(once).select("__key", F.explode(_bare_terms(F.col("__text"), F.col("__spans"))).alias("term")))
     both = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    words = docs.select(_key(_text()).alias("__key"), F.explode(_words(_text(), WORD)).alias("term"))
+    # the key is a column before the words are rows: beside ``explode`` it would be hashed again for each word
+    keyed = docs.select(_key(_text()).alias("__key"), _text().alias("__text"))
+    words = keyed.select("__key", F.explode(_words(F.col("__text"), WORD)).alias("term"))
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(max(1, docs.count())))
     share = F.log(total * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(total / F.col("n_entity"))
@@ -201,17 +205,21 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
 def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
     """__key and __more of ``docs`` (different texts with spans): the places of their disclosing terms, by kind then start.
 
-    A text's words and their places are rows of their own, joined with its terms,
-    so the cost is the words', however many terms a text has.
+    A text's words are walked once for each kind and looked up in its own terms;
+    only those that are terms get a place, and no word becomes a row.
     """
-    words = docs.select("__key", "__spans", F.explode(find_spans(F.col("__text"), F.lit(WORD), "word")).alias("w"))
-    met = words.withColumn("term", F.lower("w.value")).join(terms, ["__key", "term"])
-    free = met.filter(~F.exists("__spans", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"])))
-    order = F.when(F.col("share") < remove, 0).otherwise(1)
-    place = F.struct(order.alias("order"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    kind = F.array(*map(F.lit, TERM_KINDS))
-    by_key = free.groupBy("__key").agg(F.array_sort(F.collect_list(place)).alias("p"))
-    return by_key.select("__key", F.transform("p", lambda s: F.struct(F.get(kind, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__more"))
+    of = lambda cond: F.collect_list(F.when(cond, F.col("term")))
+    by_key = terms.groupBy("__key").agg(of(F.col("share") < remove).alias("__low"), of(F.col("share") >= remove).alias("__high"))
+    parts = []
+    for kind, name in zip(TERM_KINDS, ("__low", "__high"), strict=True):
+        found = find_spans(F.col("__text"), F.lit(WORD), kind, _in(name))
+        outside = F.filter(found, lambda s: ~F.exists("__spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        parts.append(F.when(F.size(name) > 0, _places(outside)).otherwise(F.array().cast("array<struct<kind: string, start: int, end: int>>")))
+    return docs.join(by_key, "__key").select("__key", F.concat(*parts).alias("__more"))
+
+
+def _in(terms: str) -> Callable[[Column], Column]:
+    return lambda value: F.array_contains(F.col(terms), F.lower(value))
 
 
 def _joined(spans: Column) -> Column:
