@@ -21,8 +21,10 @@ have the same counts with every term, so one of them stands for all: a page of
 two thousand addresses gives a pair for each of its terms, not two thousand.  A
 second pass counts terms, aggregated before the shuffle.  Pairs meet term counts
 in a join on the term.  A third pass finds the texts of the terms that disclose.
-A text is known by its SHA-256.  Joins of rows with their text's terms are salted
-by the rows' partition, so copies of one text don't meet in a task.
+A text is known by its SHA-256.  A pass that wants few texts or words sifts the
+others out where they lie, by bits that the wanted ones set, before the exact join
+shuffles the rest.  Joins of rows with their text's terms are salted by the rows'
+partition where a text has many copies, so these don't meet in a task.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from skarn.llm.common import stash
 GENERALISE, REMOVE, SUPPORT = 0.9, 0.98, 3
 #: Parts that the copies of a text are dealt into, and matches whose places are found in one go.
 SALTS, FEW = 32, 32
+#: Rows of one text from which on it is dealt, and most bits of a sieve (two megabytes).
+MANY, MOST_BITS = 256, 1 << 24
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the method adds, by what is done to them.
 TERM_KINDS = ("generalised", "removed")
@@ -159,10 +163,37 @@ def _key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def _sieve(wanted: DataFrame, name: str) -> Callable[[Column], Column]:
+    """Whether a value may be one of column ``name`` of ``wanted``: each that is passes, and few others.
+
+    Sixteen bits for each wanted value, up to ``MOST_BITS``; beyond that more others
+    pass, so an exact join has to follow.  ``wanted`` is a written table.
+    """
+    size = min(MOST_BITS, max(64, 1 << (16 * wanted.count()).bit_length()))
+    place = lambda v: F.pmod(F.xxhash64(v), F.lit(size).cast("long"))
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(v), F.lit(64)).cast("int"))
+    slot = lambda v: F.shiftright(place(v), 6)
+    own = wanted.groupBy(slot(F.col(name)).alias("id")).agg(F.bit_or(bit(F.col(name))).alias("bits"))
+    every = wanted.sparkSession.range(size // 64).join(own, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("b"))
+    bits = stash(every.agg(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["bits"]).alias("bits"))).scalar()
+    return lambda v: F.get(bits, slot(v).cast("int")).bitwiseAND(bit(v)) != 0
+
+
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """__key, text and number of __copies of each different text whose key is in ``keys`` (a written table).
+
+    Other texts don't leave their partition, and of one text a row for each partition does.
+    """
+    keyed = docs.select(_key(_text()).alias("__key"), "text").filter(_sieve(keys, "__key")(F.col("__key")))
+    once = keyed.groupBy("__key").agg(F.first("text").alias("text"), F.count("*").alias("__copies"))
+    return once.join(keys.select("__key").distinct(), "__key", "left_semi")
+
+
 def _salted_left_join(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` left join ``found`` (one row a text) on __key; a text's copies are dealt round by their partition."""
-    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    wide = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``rows`` left join ``found`` (written, one row a text, with __copies) on __key; many copies are dealt round by their partition."""
+    many = _sieve(found.filter(F.col("__copies") >= MANY), "__key")(F.col("__key"))
+    salt = F.when(many, F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    wide = found.drop("__copies").withColumn("__salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return rows.withColumn("__salt", salt).join(wide, ["__key", "__salt"], "left").drop("__salt")
 
 
@@ -188,8 +219,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     each = own.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"), *marks).filter(F.col("texts") >= support)
     n_entity = stash(each.groupBy("x", "y", "n_entity", "texts").agg(F.min("entity").alias("entity")).select("entity", "n_entity"))
     held = stash(own.join(n_entity.select("entity"), "entity", "left_semi"))
-    once = docs.select(_key(_text()).alias("__key"), "text").join(held.select("__key").distinct(), "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
-    terms = stash(_with_spans(once).select("__key", F.explode(_bare_terms(F.col("__text"), F.col("__spans"))).alias("term")))
+    terms = stash(_with_spans(_texts_of(docs, held)).select("__key", F.explode(_bare_terms(F.col("__text"), F.col("__spans"))).alias("term")))
     both = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     # the key is a column before the words are rows: beside ``explode`` it would be hashed again for each word
     keyed = docs.select(_key(_text()).alias("__key"), _text().alias("__text"))
@@ -199,11 +229,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, generalise: float = GENE
     share = F.log(total * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(total / F.col("n_entity"))
     strong = both.join(n_entity, "entity").join(n_term, "term").withColumn("share", share).filter(F.col("share") >= generalise)
     worst = stash(strong.groupBy("term").agg(F.max("share").alias("share")))
-    return words.join(worst, "term").select("__key", "term", "share").distinct()
+    return words.filter(_sieve(worst, "term")(F.col("term"))).join(worst, "term").select("__key", "term", "share").distinct()
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """__key and __more of ``docs`` (different texts with spans): the places of their disclosing terms, by kind then start.
+    """__key, __copies and __more of ``docs`` (different texts with spans): the places of their disclosing terms, by kind then start.
 
     A text's words are walked once for each kind and looked up in its own terms;
     only those that are terms get a place, and no word becomes a row.
@@ -215,7 +245,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> Dat
         found = find_spans(F.col("__text"), F.lit(WORD), kind, _in(name))
         outside = F.filter(found, lambda s: ~F.exists("__spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         parts.append(F.when(F.size(name) > 0, _places(outside)).otherwise(F.array().cast("array<struct<kind: string, start: int, end: int>>")))
-    return docs.join(by_key, "__key").select("__key", F.concat(*parts).alias("__more"))
+    return docs.join(by_key, "__key").select("__key", "__copies", F.concat(*parts).alias("__more"))
 
 
 def _in(terms: str) -> Callable[[Column], Column]:
@@ -227,10 +257,8 @@ def _joined(spans: Column) -> Column:
 
 
 def _more(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """__key and __more for every different text that has disclosing terms."""
-    held = docs.select("text", _key(_text()).alias("__key")).join(terms.select("__key").distinct(), "__key", "left_semi")
-    once = held.groupBy("__key").agg(F.first("text").alias("text"))  # one row of each text leaves a partition, however many copies it holds
-    return term_spans(_with_spans(once), terms)
+    """__key, __copies and __more for every different text that has disclosing terms.  ``terms`` is a written table."""
+    return term_spans(_with_spans(_texts_of(docs, terms)), terms)
 
 
 def privacy_report(docs: DataFrame) -> DataFrame:
@@ -242,7 +270,7 @@ def privacy_report(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "text")
     found = evidence(own, "doc_id")
-    more = _more(own, stash(disclosing_terms(own, found)))
+    more = stash(_more(own, stash(disclosing_terms(own, found))))
     full = _salted_left_join(found.select("doc_id", "__key", F.col("__places").alias("spans")), more.withColumnRenamed("__more", "more"))
     base = F.col("spans")
     counts = [F.size(F.filter(base, _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]

@@ -171,3 +171,45 @@ def test_a_page_of_two_thousand_addresses_gives_no_square(spark):
     began = time.perf_counter()
     got = {r["doc_id"]: r for r in pii.privacy_report(docs).collect()}
     assert got[0]["n_email"] == 2000 and got[0]["spans"].count("removed") > 1900 and time.perf_counter() - began < 60
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    time.sleep(0.5)
+    executors = sc.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_without_terms_stay_where_they_lie(spark):
+    r = random.Random(3)
+    noise = lambda: "".join(r.choice("!#$&*=~^|<>{}[]") for _ in range(4000))
+    rows = [(i, f"mail Zaphodia at zed@mail.org {noise()}") for i in range(5)] + [(100 + i, f"mail at {noise()}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if keys and terms were too many to broadcast
+    try:
+        before = shuffled(spark)
+        got = {x["doc_id"]: x["spans"] for x in pii.privacy_report(docs).collect()}
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert {i for i, spans in got.items() if spans} == set(range(5)) and all("removed:5:13" in got[i] for i in range(5)) and len(got) == len(rows)
+    assert 0 < moved < 0.25 * sum(len(t) for _, t in rows)
+
+
+def test_a_full_sieve_and_dealt_copies_change_no_result(spark, monkeypatch):
+    rows = [tuple(x) for x in corpus(spark).collect()]
+    docs = spark.createDataFrame(rows + [(500 + i, *rows[i % 4][1:]) for i in range(40)], corpus(spark).schema).repartition(6)
+    report, clean = (sorted(map(str, f(docs).collect())) for f in (pii.privacy_report, pii.sanitise))
+    monkeypatch.setattr(pii, "MOST_BITS", 64)
+    monkeypatch.setattr(pii, "MANY", 3)
+    assert sorted(map(str, pii.privacy_report(docs).collect())) == report and sorted(map(str, pii.sanitise(docs).collect())) == clean
+    assert sum("removed:" in x for x in report) == 50
+
+
+def test_a_sieve_misses_none(spark):
+    wanted = pii.stash(spark.range(1000).selectExpr("cast(id * 7 as string) as v"))
+    passed = {x["v"] for x in spark.range(70_000).selectExpr("cast(id as string) as v").filter(pii._sieve(wanted, "v")(pii.F.col("v"))).collect()}
+    assert {str(i * 7) for i in range(1000)} <= passed and len(passed) < 10_000
+    assert spark.range(50).selectExpr("cast(id as string) as v").filter(pii._sieve(wanted.limit(0), "v")(pii.F.col("v"))).count() == 0
