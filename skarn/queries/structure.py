@@ -88,15 +88,13 @@ SELECT calls.c_custkey, tier, target FROM calls LEFT JOIN (SELECT * FROM ranked
 )
 def call_resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers to rich suppliers: of the nation, else of the region, else the first anywhere; all ties kept."""
-    calls = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    rich = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("target"), "s_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    by_region = rich.join(nation, rich.s_nationkey == nation.n_nationkey).select("target", "n_regionkey")
-    mine = calls.join(nation, calls.c_nationkey == nation.n_nationkey)
-    one = calls.join(rich, calls.c_nationkey == rich.s_nationkey)
-    anywhere = rich.agg(F.min("target").alias("target")).filter("target is not null")
-    tiers = [one, mine.join(by_region, "n_regionkey"), calls.join(F.broadcast(anywhere))]
-    return structure.resolve_by_priority(calls, tiers, "c_custkey")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    calls = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lit(0).alias("all")).join(F.broadcast(nation), "c_nationkey", "left")
+    rich = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("c_nationkey"))
+    by_region = rich.join(F.broadcast(nation), "c_nationkey").select("target", "n_regionkey")
+    anywhere = rich.agg(F.min("target").alias("target")).withColumn("all", F.lit(0))
+    # few nations have many customers each: sent to all, the suppliers leave the customers where they lie
+    return structure.resolve_by_priority(calls, [("c_nationkey", F.broadcast(rich)), ("n_regionkey", F.broadcast(by_region)), ("all", F.broadcast(anywhere))], "c_custkey")
 
 
 _DAY = "(epoch(o_orderdate) // 86400)::BIGINT"
